@@ -39,9 +39,22 @@ MEASURES_SCHEMA = T.StructType(
 DATA_ROOT = "/root/testdata"
 
 
+EVENT_LOG_DIR = tempfile.mkdtemp(prefix="churnscope-events-")
+
+
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(master="local[*]", shuffle_partitions=8, app="churnscope-tests")
+    # The event log (task metrics) lets tests check where rows travel.
+    s = build_session(
+        master="local[*]",
+        shuffle_partitions=8,
+        app="churnscope-tests",
+        extra={
+            "spark.eventLog.enabled": "true",
+            "spark.eventLog.dir": EVENT_LOG_DIR,
+            "spark.eventLog.compress": "false",
+        },
+    )
     # Only when the session names no checkpoint folder (as on a laptop).
     ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="churnscope-ckpt-"))
     yield s

@@ -1,0 +1,49 @@
+"""Task metrics of a job group, read from the session's event log."""
+
+from __future__ import annotations
+
+import glob
+import json
+import os
+from collections import defaultdict
+
+
+def _events(root: str):
+    for path in sorted(glob.glob(os.path.join(root, "*", "events_*")) + glob.glob(os.path.join(root, "*.inprogress"))):
+        with open(path) as fh:
+            for line in fh:
+                line = line.strip()
+                if line:
+                    try:
+                        yield json.loads(line)
+                    except json.JSONDecodeError:  # a line still being written
+                        return
+
+
+def stage_metrics(root: str, group: str) -> dict[int, dict]:
+    """stage id -> {tasks, max_read, read, written} for the jobs of one job group."""
+    stages: set[int] = set()
+    per_stage: dict[int, list] = defaultdict(list)
+    for e in _events(root):
+        kind = e.get("Event")
+        if kind == "SparkListenerJobStart":
+            if (e.get("Properties") or {}).get("spark.jobGroup.id") == group:
+                stages.update(e.get("Stage IDs", []))
+        elif kind == "SparkListenerTaskEnd":
+            m = e.get("Task Metrics") or {}
+            per_stage[e["Stage ID"]].append(
+                (
+                    m.get("Shuffle Read Metrics", {}).get("Total Records Read", 0),
+                    m.get("Shuffle Write Metrics", {}).get("Shuffle Records Written", 0),
+                )
+            )
+    return {
+        s: {
+            "tasks": len(v),
+            "max_read": max(r for r, _ in v),
+            "read": sum(r for r, _ in v),
+            "written": sum(w for _, w in v),
+        }
+        for s, v in per_stage.items()
+        if s in stages
+    }

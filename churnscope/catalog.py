@@ -115,6 +115,7 @@ def clean_impute_key(spark, root):
     return cleaning.impute_key_by_fd(
         cohort.dedup_people(i.people), "unit_id", "role_raw", i.units,
         source=i.people, sentinels=cohort.SENTINEL_UNITS, output="clean_unit_id",
+        salt_by="person_id",
     ).select("person_id", "unit_id", "clean_unit_id")
 
 

@@ -65,6 +65,29 @@ def fd_map(
     )
 
 
+def salted_lookup(
+    df: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    salt_by: str | Sequence[str] | None = None,
+    salts: int = 32,
+) -> DataFrame:
+    """Left join ``df`` to ``lookup`` (one row per ``key``) with hot keys split.
+
+    Each lookup row is replicated ``salts`` times (salt 0..salts-1) and each
+    row of ``df`` gets the deterministic salt ``pmod(xxhash64(salt_by),
+    salts)``, so one key value held by a third of ``df`` is spread over
+    ``salts`` join partitions instead of one task. Salts are a hash of the
+    row, not random, so a recomputed partition after executor loss sends
+    every row to the same place again. A small lookup is still broadcast by
+    AQE (``salts`` x a few rows); the salt then costs nothing.
+    """
+    salt_cols = as_list(salt_by) if salt_by is not None else df.columns
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)).cast("int")
+    replicated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("__salt", salt).join(replicated, [key, "__salt"], "left").drop("__salt")
+
+
 def impute_key_by_fd(
     df: DataFrame,
     key: str,
@@ -77,6 +100,8 @@ def impute_key_by_fd(
     valid_only: bool = False,
     output: str | None = None,
     normalize: bool = True,
+    salt_by: str | Sequence[str] | None = None,
+    salts: int = 32,
 ) -> DataFrame:
     """Recover a bad foreign key through a functional dependency.
 
@@ -87,10 +112,12 @@ def impute_key_by_fd(
     equals this row's; no evidence gives NULL. Any other key is kept as is,
     including orphans that are not sentinels unless ``valid_only``.
 
-    Plan: the evidence map is pre-aggregated to one row per determinant and
-    joined with a left join; AQE broadcasts it when its measured size is
-    under the broadcast threshold, else it is a shuffle join with skew
-    splitting of hot determinants.
+    Plan: the evidence map is pre-aggregated to one row per determinant.
+    AQE broadcasts it when its measured size is under the broadcast
+    threshold. Otherwise it is a shuffle join, and AQE cannot split a hot
+    determinant there (the map side is an aggregate, not a bare shuffle), so
+    the join is salted: ``salt_by`` (a unique column, default all columns)
+    spreads one determinant over ``salts`` partitions.
     """
     output = output or key
     evidence = fd_map(source if source is not None else df, determinant, key, dim, dim_key, normalize)
@@ -98,12 +125,15 @@ def impute_key_by_fd(
     bad = F.col(key).isNull()
     if sentinels:
         bad = bad | F.col(key).isin(list(sentinels))
-    out = df.withColumn("__det", det)
+    salt_by = salt_by if salt_by is not None else df.columns
+    out = df
     if valid_only:
-        known = dim.select(F.col(dim_key or key).alias("__known")).distinct()
-        out = out.join(known, out[key] == known["__known"], "left")
+        known = (
+            dim.select(F.col(dim_key or key).alias(key)).distinct().withColumn("__known", F.lit(True))
+        )
+        out = salted_lookup(out, known, key, salt_by, salts)
         bad = bad | F.col("__known").isNull()
-    out = out.join(evidence, "__det", "left")
+    out = salted_lookup(out.withColumn("__det", det), evidence, "__det", salt_by, salts)
     return out.withColumn(
         output, F.when(bad, F.col("__imputed")).otherwise(F.col(key))
     ).drop("__det", "__imputed", "__known")

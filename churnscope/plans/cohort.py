@@ -76,6 +76,7 @@ def clean_people(
         sentinels=sentinels,
         valid_only=valid_only,
         output="clean_unit_id",
+        salt_by="person_id",
     )
     return imputed.withColumn("clean_role", normalize_text("role_raw")).select(*CLEAN_COLUMNS)
 

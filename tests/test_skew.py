@@ -65,3 +65,42 @@ def test_latest_hot_person(spark):
     written = sum(s["written"] for s in stats.values() if s["tasks"] == MAP_TASKS and s["written"])
     assert 0 < written <= total_valid - n_hot + MAP_TASKS
     assert out.where("person_id = -1").count() == 1
+
+
+def test_key_recovery_hot_role_is_split(spark):
+    """With the role map too big to broadcast, a role held by a third of the
+    people still spreads over many join tasks (salted lookup)."""
+    t = table_reader(spark, SF)
+    people = bindings.people(t)
+    hot = F.col("person_id") % 3 == 0
+    skewed = people.withColumn(
+        "role_raw", F.when(hot, F.lit("Desk NATION_7")).otherwise(F.col("role_raw"))
+    )
+    n_people = people.where("person_id IS NOT NULL").count()
+    n_hot = people.where(hot).count()
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("skew-role", "hot role")
+        clean = cohort.clean_people(skewed, bindings.units(t))
+        clean.write.format("noop").mode("overwrite").save()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    stats = stage_metrics(EVENT_LOG_DIR, "skew-role")
+    # The stage joining deduplicated people (about n_people rows) with the salted map.
+    # The result stage joins the deduplicated people with the salted role map.
+    join_stage = stats[max(stats)]
+    assert join_stage["tasks"] == 8 and join_stage["written"] == 0
+    assert join_stage["read"] >= n_people - 30
+    # Unsalted, one task would read every person of the hot role.
+    assert join_stage["max_read"] < n_hot * 0.8, join_stage

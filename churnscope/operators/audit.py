@@ -91,13 +91,21 @@ def missing_matches(
 ) -> DataFrame:
     """Rows of ``left`` (optionally filtered) without a match in ``right``.
 
-    Same result as ``LEFT JOIN ... WHERE right.key IS NULL`` but planned as
-    an anti join: no fan-out, and only the key column of ``right`` is read.
+    Same result as ``LEFT JOIN ... WHERE right.key IS NULL``, planned as an
+    anti join: no fan-out, and only the key column of ``right`` is read. A
+    NULL key never matches, and an audited table may hold a third of its
+    rows with a NULL key; those rows go around the join (no shuffle at all)
+    instead of all hashing into one join task. ``left`` is read once per
+    branch, so stage it first if it is expensive to compute. A hot non-NULL
+    key is left to AQE's skew-join split (the right side is a plain shuffle).
     """
     if where is not None:
         left = left.where(where)
+    key = F.col(on)
     keys = right.select(F.col(right_on or on).alias("__rk"))
-    return left.join(keys, left[on] == keys["__rk"], "left_anti")
+    matched_side = left.where(key.isNotNull())
+    unmatched = matched_side.join(keys, matched_side[on] == keys["__rk"], "left_anti")
+    return unmatched.unionByName(left.where(key.isNull()))
 
 
 def missing_match_count(
@@ -108,8 +116,18 @@ def missing_match_count(
     where: Column | None = None,
     name: str = "missing",
 ) -> DataFrame:
-    """Count of left rows with no match on the right."""
-    return missing_matches(left, right, on, right_on, where).agg(F.count(F.lit(1)).alias(name))
+    """Count of left rows with no match on the right.
+
+    Both sides are reduced to one row per key value before they meet (left
+    with its row count), so the join is bounded by the number of distinct
+    keys, and a NULL or hot key costs one partial row per map task.
+    """
+    if where is not None:
+        left = left.where(where)
+    per_key = left.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    keys = right.select(F.col(right_on or on).alias("__rk")).distinct()
+    missing = per_key.join(keys, per_key[on] == keys["__rk"], "left_anti")
+    return missing.agg(F.coalesce(F.sum("__n"), F.lit(0).cast("long")).alias(name))
 
 
 def duplicate_groups(df: DataFrame, keys: str | Sequence[str], name: str = "occurrences") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions._cols import as_col, as_list
+from churnscope.functions.salting import row_salt
 from churnscope.functions.text import normalize_text
 
 _RN = "__rn"
@@ -82,10 +83,9 @@ def salted_lookup(
     every row to the same place again. A small lookup is still broadcast by
     AQE (``salts`` x a few rows); the salt then costs nothing.
     """
-    salt_cols = as_list(salt_by) if salt_by is not None else df.columns
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)).cast("int")
     replicated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("__salt", salt).join(replicated, [key, "__salt"], "left").drop("__salt")
+    salted = df.withColumn("__salt", row_salt(df, salts, salt_by))
+    return salted.join(replicated, [key, "__salt"], "left").drop("__salt")
 
 
 def impute_key_by_fd(
@@ -125,7 +125,6 @@ def impute_key_by_fd(
     bad = F.col(key).isNull()
     if sentinels:
         bad = bad | F.col(key).isin(list(sentinels))
-    salt_by = salt_by if salt_by is not None else df.columns
     out = df
     if valid_only:
         known = (

@@ -11,7 +11,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from churnscope.plans import cohort
+from churnscope.operators import audit
+from churnscope.plans import cohort, staging
 from churnscope.sources import bindings
 from churnscope.sources.tables import table_reader
 from conftest import DATA_ROOT, EVENT_LOG_DIR
@@ -67,6 +68,52 @@ def test_latest_hot_person(spark):
     assert out.where("person_id = -1").count() == 1
 
 
+FORCE_SHUFFLE_JOINS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def _run_with_conf(spark, conf, group, df):
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, group)
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    return stage_metrics(EVENT_LOG_DIR, group)
+
+
+def test_missing_match_null_heavy_key_is_spread(spark):
+    t = table_reader(spark, SF)
+    people = bindings.people(t).where("person_id IS NOT NULL")
+    null_key = F.col("person_id") % 3 == 0
+    # Staged, as the operator's docstring advises: both branches are scans.
+    left = staging.stage(
+        people.withColumn("person_id", F.when(null_key, None).otherwise(F.col("person_id"))),
+        "skew-anti-left",
+    )
+    right = staging.stage(bindings.exits(t), "skew-anti-right")
+    n_left = people.count()
+    n_null = people.where(null_key).count()
+    stats = _run_with_conf(
+        spark, FORCE_SHUFFLE_JOINS, "skew-anti", audit.missing_matches(left, right, "person_id")
+    )
+    # Only keyed rows go through the join shuffle, spread over its tasks.
+    shuffled = [s for s in stats.values() if s["read"]]
+    assert sum(s["read"] for s in shuffled) <= n_left - n_null + right.count()
+    assert all(s["max_read"] < n_null * 0.8 for s in shuffled), stats
+    out = audit.missing_matches(left, right, "person_id")
+    assert out.where("person_id IS NULL").count() == n_null
+
+
 def test_key_recovery_hot_role_is_split(spark):
     """With the role map too big to broadcast, a role held by a third of the
     people still spreads over many join tasks (salted lookup)."""
@@ -78,25 +125,9 @@ def test_key_recovery_hot_role_is_split(spark):
     )
     n_people = people.where("person_id IS NOT NULL").count()
     n_hot = people.where(hot).count()
-    conf = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-    }
-    old = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        spark.sparkContext.setJobGroup("skew-role", "hot role")
-        clean = cohort.clean_people(skewed, bindings.units(t))
-        clean.write.format("noop").mode("overwrite").save()
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-    stats = stage_metrics(EVENT_LOG_DIR, "skew-role")
+    stats = _run_with_conf(
+        spark, FORCE_SHUFFLE_JOINS, "skew-role", cohort.clean_people(skewed, bindings.units(t))
+    )
     # The stage joining deduplicated people (about n_people rows) with the salted map.
     # The result stage joins the deduplicated people with the salted role map.
     join_stage = stats[max(stats)]

@@ -22,15 +22,13 @@ SENTINEL_UNITS = (99,)
 NATURAL_KEY = ("person_name", "start_ts")
 ACTIVE, TERMINATED = bindings.ACTIVE, bindings.TERMINATED
 
-CLEAN_COLUMNS = (
-    "person_id",
-    "person_name",
-    "clean_role",
-    "start_ts",
-    "rating",
-    "status",
-    "clean_unit_id",
-)
+
+def clean_columns(people_columns: list[str]) -> list[str]:
+    """Output columns of ``clean_people``: every entity column, with
+    ``role_raw`` replaced in place by ``clean_role``, ``unit_id`` dropped and
+    ``clean_unit_id`` appended (the raw role and key stay in the raw table)."""
+    cols = ["clean_role" if c == "role_raw" else c for c in people_columns if c != "unit_id"]
+    return cols + ["clean_unit_id"]
 
 
 @dataclass(frozen=True)
@@ -53,20 +51,25 @@ class CohortInputs:
 # ---------------------------------------------------------------- cleaning
 
 
-def dedup_people(people: DataFrame) -> DataFrame:
-    """Drop the NULL-id row, then keep the lowest id per (name, start)."""
-    return cleaning.dedup_keep_first(people, NATURAL_KEY, ["person_id"], require="person_id")
+def dedup_people(people: DataFrame, natural_key=NATURAL_KEY) -> DataFrame:
+    """Drop the NULL-id row, then keep the lowest id per natural key."""
+    return cleaning.dedup_keep_first(people, natural_key, ["person_id"], require="person_id")
 
 
 def clean_people(
-    people: DataFrame, units: DataFrame, sentinels=SENTINEL_UNITS, valid_only: bool = False
+    people: DataFrame,
+    units: DataFrame,
+    sentinels=SENTINEL_UNITS,
+    valid_only: bool = False,
+    natural_key=NATURAL_KEY,
 ) -> DataFrame:
     """Deduplicated people with a normalised role and a recovered unit key.
 
     The recovery evidence is the *raw* table (rows later dropped as
-    duplicates still tell which unit a role belongs to).
+    duplicates still tell which unit a role belongs to). Columns other than
+    the roles' (names, gender, age, ...) are carried through.
     """
-    deduped = dedup_people(people)
+    deduped = dedup_people(people, natural_key)
     imputed = cleaning.impute_key_by_fd(
         deduped,
         key="unit_id",
@@ -78,7 +81,9 @@ def clean_people(
         output="clean_unit_id",
         salt_by="person_id",
     )
-    return imputed.withColumn("clean_role", normalize_text("role_raw")).select(*CLEAN_COLUMNS)
+    return imputed.withColumn("clean_role", normalize_text("role_raw")).select(
+        *clean_columns(people.columns)
+    )
 
 
 def clean_measures(measures: DataFrame) -> DataFrame:
@@ -173,7 +178,11 @@ def tenure_before_exit_by_unit(clean: DataFrame, units: DataFrame, exits: DataFr
 
 
 def quality(
-    people: DataFrame, clean: DataFrame, measures: DataFrame, sentinels=SENTINEL_UNITS
+    people: DataFrame,
+    clean: DataFrame,
+    measures: DataFrame,
+    sentinels=SENTINEL_UNITS,
+    natural_key=NATURAL_KEY,
 ) -> DataFrame:
     """The verification block after cleaning, one scan per table."""
     amount = F.col("amount")
@@ -186,7 +195,7 @@ def quality(
                 clean,
                 [
                     # No duplicate person may remain: one row per natural key.
-                    Check("clean_people", F.count(one), F.count_distinct(F.struct(*NATURAL_KEY))),
+                    Check("clean_people", F.count(one), F.count_distinct(F.struct(*natural_key))),
                     Check("remaining_bad_units", F.count_if(unit.isNull() | unit.isin(*sentinels)), 0),
                 ],
             ),

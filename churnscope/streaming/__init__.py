@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The original project has no streams, event-time windows, watermarks or
+state; every question is a batch query over whole tables. Adding stateful
+streaming operators would be new functionality, so none is provided. The
+batch operators work unchanged inside ``foreachBatch`` if a caller wants to
+recompute the metrics per micro-batch.
+"""

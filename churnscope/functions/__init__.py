@@ -1,5 +1,6 @@
 from churnscope.functions.numeric import (
     METRIC_TYPE,
+    day_number,
     elapsed_days,
     percent,
     round_half_up,
@@ -9,6 +10,7 @@ from churnscope.functions.text import normalize_text
 
 __all__ = [
     "METRIC_TYPE",
+    "day_number",
     "elapsed_days",
     "normalize_text",
     "percent",

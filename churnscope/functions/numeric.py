@@ -43,3 +43,13 @@ def elapsed_days(end: Column | str, start: Column | str) -> Column:
     ``date_diff(day, ...)`` would count elapsed 24h periods instead.
     """
     return F.datediff(as_col(end), as_col(start))
+
+
+def day_number(col: Column | str) -> Column:
+    """Calendar day of a date or timestamp as days since 1970-01-01.
+
+    ``day_number(end) - day_number(start)`` equals ``elapsed_days(end, start)``,
+    and sums of day numbers are exact integers, so spans can be summed per
+    entity before a join.
+    """
+    return F.unix_date(F.to_date(as_col(col)))

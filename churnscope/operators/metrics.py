@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions._cols import as_col, as_list
-from churnscope.functions.numeric import elapsed_days, round_half_up, rounded_percent
+from churnscope.functions.numeric import day_number, round_half_up, rounded_percent
 
 
 def _hit_keys(events: DataFrame, key: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -156,16 +156,27 @@ def mean_elapsed_by_group(
     in units of ``unit_days``, per group (W19). Entities without an event are
     left out (inner join); every event row counts.
 
-    The mean is sum(days) / (count * unit_days): integer sums are exact and
-    independent of summation order, then one division.
+    Events are first reduced to one row per entity: the number of dated
+    events and the sum of their day numbers. Since the span of each event is
+    ``end_day - start_day``, an entity's total is ``sum_end - n * start_day``:
+    exact integers, so the join is one-to-one (an entity with a third of all
+    events is one row after the map-side partial aggregation) and the mean
+    is sum(days) / (count * unit_days) with a single division.
     """
     keys = as_list(by)
-    ev = events.select(F.col(event_on or on).alias("__eid"), F.col(end).alias("__end"))
-    joined = population.join(ev, population[on] == ev["__eid"], "inner")
-    days = elapsed_days("__end", start)
+    end_day = day_number(end)
+    # Undated events still make the entity join (as in a plain inner join)
+    # but add no span: __k counts dated events only.
+    per_entity = events.groupBy(F.col(event_on or on).alias("__eid")).agg(
+        F.count(end_day).alias("__k"), F.sum(end_day).alias("__end_sum")
+    )
+    joined = population.join(per_entity, population[on] == per_entity["__eid"], "inner")
+    start_day = day_number(start)
+    days = F.col("__end_sum") - F.col("__k") * start_day
+    spans = F.when(start_day.isNotNull(), F.col("__k"))
     return (
         joined.groupBy(*keys)
-        .agg(F.sum(days).alias("__s"), F.count(days).alias("__n"))
+        .agg(F.sum(days).alias("__s"), F.sum(spans).alias("__n"))
         .select(
             *keys,
             round_half_up(F.try_divide(F.col("__s"), F.col("__n") * F.lit(unit_days)), digits).alias(name),

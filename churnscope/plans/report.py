@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import round_half_up, rounded_percent
+from churnscope.functions.numeric import day_number, round_half_up, rounded_percent
 from churnscope.plans import cohort
 from churnscope.plans.staging import stage
 
@@ -31,10 +31,6 @@ METRIC_KEYS = (
 )
 
 
-def _day(col: str):
-    return F.unix_date(F.to_date(F.col(col)))
-
-
 def person_facts(
     clean: DataFrame, units: DataFrame, exits: DataFrame, measures: DataFrame
 ) -> DataFrame:
@@ -43,12 +39,13 @@ def person_facts(
     ``exit_types`` is the sorted set of the person's exit types: bounded by
     the number of exit types, not by the data (partial aggregation keeps it
     that small on the map side too). ``exit_days`` is the summed calendar
-    days from start to each exit, ``exit_spans`` the number of exits that
-    have a start date; both are exact integers.
+    days from start to each dated exit, ``exit_spans`` the number of such
+    spans (NULL without a start date); both are exact integers.
     """
     per_person = exits.groupBy("person_id").agg(
         F.count(F.lit(1)).alias("n_exits"),
-        F.sum(_day("exit_ts")).alias("exit_day_sum"),
+        F.count(day_number("exit_ts")).alias("n_dated"),
+        F.sum(day_number("exit_ts")).alias("exit_day_sum"),
         F.array_sort(F.collect_set("exit_type")).alias("exit_types"),
     )
     latest = cohort.latest_measure(measures).select(
@@ -56,7 +53,7 @@ def person_facts(
     )
     unit_cols = units.select("unit_id", "unit_name")
     people = clean.join(unit_cols, clean["clean_unit_id"] == unit_cols["unit_id"], "left")
-    start = _day("start_ts")
+    start = day_number("start_ts")
     return (
         people.join(per_person, "person_id", "left")
         .join(latest, "person_id", "left")
@@ -69,8 +66,8 @@ def person_facts(
             "unit_name",
             F.coalesce(F.col("n_exits") > 0, F.lit(False)).alias("has_exit"),
             "exit_types",
-            (F.col("exit_day_sum") - F.col("n_exits") * start).alias("exit_days"),
-            F.when(start.isNotNull(), F.col("n_exits")).alias("exit_spans"),
+            (F.col("exit_day_sum") - F.col("n_dated") * start).alias("exit_days"),
+            F.when(start.isNotNull(), F.col("n_dated")).alias("exit_spans"),
             "latest_amount",
         )
     )

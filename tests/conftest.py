@@ -79,7 +79,8 @@ def mk(spark):
 
         def exits(self, rows):
             return spark.createDataFrame(
-                [(eid, pid, ts(day), typ) for eid, pid, day, typ in rows], EXITS_SCHEMA
+                [(eid, pid, None if day is None else ts(day), typ) for eid, pid, day, typ in rows],
+                EXITS_SCHEMA,
             )
 
         def measures(self, rows):

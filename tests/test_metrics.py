@@ -147,3 +147,18 @@ def test_permutation_invariance(mk, spark):
     a = cohort.attrition_by_unit(cohort.clean_people(mk.people(people), u), u, e)
     b = cohort.attrition_by_unit(cohort.clean_people(mk.people(people[::-1]).repartition(5), u), u, e)
     assert rows(a) == rows(b)
+
+
+def test_mean_elapsed_counts_every_event_and_skips_undated(spark):
+    pop = spark.createDataFrame(
+        [(1, 1, ts(0)), (2, 1, ts(10)), (3, 1, None), (4, 2, ts(0))],
+        "person_id long, g int, start_ts timestamp_ntz",
+    )
+    ev = spark.createDataFrame(
+        [(1, ts(10, 23)), (1, ts(30)), (2, ts(40)), (3, ts(50)), (4, None)],
+        "person_id long, exit_ts timestamp_ntz",
+    )
+    out = metrics.mean_elapsed_by_group(pop, ev, "person_id", "g", "start_ts", "exit_ts", unit_days=1)
+    # group 1: spans 10, 30 (person 1), 30 (person 2); person 3 has no start -> (10+30+30)/3
+    # group 2: its only event has no date -> no span, NULL mean
+    assert rows(out) == [(1, D("23.33")), (2, None)]

@@ -28,9 +28,11 @@ def test_report_equals_standalone_queries(spark):
 
 def test_report_edge_cases(mk):
     people = [person(1, unit=1, status="Terminated"), person(2, name="b", unit=1, start=None),
-              person(3, name="c", unit=99, role="Lonely"), person(4, name="d", unit=2, rating=None)]
+              person(3, name="c", unit=99, role="Lonely"), person(4, name="d", unit=2, rating=None),
+              person(5, name="e", unit=3)]
+    # person 1 has an undated third exit; unit 3's only exit is undated
     e = mk.exits([(10, 1, 400, "Voluntary"), (11, 1, 30, "Involuntary"), (12, 2, 9, "Voluntary"),
-                  (13, 3, 9, "Voluntary")])
+                  (13, 3, 9, "Voluntary"), (14, 1, None, "Voluntary"), (15, 5, None, "Voluntary")])
     m = mk.measures([(1, 1, 0, 10), (2, 3, 0, 20), (3, 4, 0, None)])
     inputs = cohort.CohortInputs(people=mk.people(people), units=mk.units(), exits=e, measures=m)
     got = report.cohort_report(inputs, staged=False)

@@ -10,7 +10,7 @@ The toolkit works on four roles:
 The driver tables are clean, so defects are planted by key arithmetic: NULL
 and orphaned unit keys, case/space variants of a role, NULL ratings,
 duplicate persons under a new id, a fully NULL row, terminated persons
-without an exit row and invalid amounts. Every rule is a Column expression
+without an exit row and invalid amounts. Every rule is a Spark SQL expression
 over the scanned tables, so the roles grow with the data and never pass
 through the driver. ``churnscope.oracle.sql`` states the same rules in SQL.
 """
@@ -65,102 +65,86 @@ def order_summary(tables: TableReader) -> DataFrame:
     desc) in one partial + final aggregation, so a customer holding a third
     of all orders is reduced map-side before the shuffle.
     """
-    return (
-        tables("orders")
-        .groupBy("o_custkey")
-        .agg(
-            F.min("o_orderdate").alias("first_ts"),
-            F.max(
-                F.struct("o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority")
-            ).alias("last"),
-        )
+    return tables("orders").groupBy("o_custkey").agg(
+        F.expr("min(o_orderdate) AS first_ts"),
+        F.expr("max(struct(o_orderdate, o_orderkey, o_orderstatus, o_orderpriority)) AS last"),
     )
 
 
+# The rules below are SQL expression strings: one JVM call parses a whole
+# projection, where the same rules as Column objects cost one call per node.
+_ROLE = f"concat('{ROLE_PREFIX}', n_name)"
+_PEOPLE_BASE = (
+    "c_custkey AS person_id",
+    "c_name AS person_name",
+    "first_ts AS start_ts",
+    f"""CASE WHEN c_custkey % {NULL_UNIT_MOD} = {NULL_UNIT_REM} THEN CAST(NULL AS INT)
+             WHEN c_custkey % {ORPHAN_UNIT_MOD} = {ORPHAN_UNIT_REM} THEN {ORPHAN_UNIT}
+             ELSE c_nationkey END AS unit_id""",
+    f"""CASE c_custkey % {ROLE_CASE_MOD} WHEN 0 THEN upper({_ROLE})
+                                     WHEN 1 THEN lower({_ROLE})
+                                     WHEN 2 THEN concat({_ROLE}, ' ')
+                                     ELSE {_ROLE} END AS role_raw""",
+    f"""CASE WHEN c_custkey % {NULL_RATING_MOD} = {NULL_RATING_REM} THEN CAST(NULL AS BIGINT)
+             ELSE 1 + c_custkey % {RATING_LEVELS} END AS rating""",
+    f"CASE WHEN last.o_orderstatus = 'F' THEN '{TERMINATED}' ELSE '{ACTIVE}' END AS status",
+    # Duplicate persons: the same row again under id + offset with an
+    # upper-case role; a generator keeps it to one pass over the rows.
+    f"""explode(CASE WHEN c_custkey % {DUP_MOD} = {DUP_REM} THEN array(0, 1)
+                     ELSE array(0) END) AS copy""",
+)
+_PEOPLE_COPIES = (
+    f"person_id + copy * {DUP_OFFSET} AS person_id",
+    "person_name",
+    "start_ts",
+    "unit_id",
+    "CASE WHEN copy = 1 THEN upper(role_raw) ELSE role_raw END AS role_raw",
+    "rating",
+    "status",
+)
+
+
 def people(tables: TableReader) -> DataFrame:
-    cust = tables("customer").select("c_custkey", "c_name", "c_nationkey")
-    nation = tables("nation").select("n_nationkey", "n_name")
-    summary = order_summary(tables).select(
-        "o_custkey", "first_ts", F.col("last.o_orderstatus").alias("last_status")
-    )
-    key = F.col("c_custkey")
-    role = F.concat(F.lit(ROLE_PREFIX), F.col("n_name"))
-    case = key % ROLE_CASE_MOD
+    cust = tables("customer")
     base = (
-        cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"])
-        .join(summary, cust["c_custkey"] == summary["o_custkey"], "left")
-        .select(
-            key.alias("person_id"),
-            F.col("c_name").alias("person_name"),
-            F.col("first_ts").alias("start_ts"),
-            F.when(key % NULL_UNIT_MOD == NULL_UNIT_REM, F.lit(None).cast("int"))
-            .when(key % ORPHAN_UNIT_MOD == ORPHAN_UNIT_REM, F.lit(ORPHAN_UNIT))
-            .otherwise(F.col("c_nationkey"))
-            .alias("unit_id"),
-            F.when(case == 0, F.upper(role))
-            .when(case == 1, F.lower(role))
-            .when(case == 2, F.concat(role, F.lit(" ")))
-            .otherwise(role)
-            .alias("role_raw"),
-            F.when(key % NULL_RATING_MOD == NULL_RATING_REM, F.lit(None).cast("long"))
-            .otherwise(F.lit(1) + key % RATING_LEVELS)
-            .alias("rating"),
-            F.when(F.col("last_status") == "F", F.lit(TERMINATED))
-            .otherwise(F.lit(ACTIVE))
-            .alias("status"),
-        )
-    )
-    # Duplicate persons: the same row again under id + offset with an upper-case
-    # role. A generator keeps it to one pass over the base rows.
-    copy = F.explode(
-        F.when(F.col("person_id") % DUP_MOD == DUP_REM, F.array(F.lit(0), F.lit(1)))
-        .otherwise(F.array(F.lit(0)))
-    ).alias("copy")
-    is_copy = F.col("copy") == 1
-    with_copies = base.select("*", copy).select(
-        (F.col("person_id") + F.col("copy") * F.lit(DUP_OFFSET)).alias("person_id"),
-        "person_name",
-        "start_ts",
-        "unit_id",
-        F.when(is_copy, F.upper("role_raw")).otherwise(F.col("role_raw")).alias("role_raw"),
-        "rating",
-        "status",
+        cust.join(tables("nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(order_summary(tables), F.expr("c_custkey = o_custkey"), "left")
+        .selectExpr(*_PEOPLE_BASE)
+        .selectExpr(*_PEOPLE_COPIES)
     )
     # One fully NULL garbage row.
-    garbage = cust.sparkSession.range(1).select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in PEOPLE_SCHEMA.fields]
+    garbage = cust.sparkSession.range(1).selectExpr(
+        *[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in PEOPLE_SCHEMA.fields]
     )
-    return with_copies.unionByName(garbage)
+    return base.unionByName(garbage)
 
 
 def exits(tables: TableReader) -> DataFrame:
     """Exit events: the latest order of a customer when it is finished ('F')."""
-    s = order_summary(tables)
-    return s.where(
-        (F.col("last.o_orderstatus") == "F")
-        & (F.col("o_custkey") % EXIT_GAP_MOD != EXIT_GAP_REM)
-    ).select(
-        F.col("last.o_orderkey").alias("exit_id"),
-        F.col("o_custkey").alias("person_id"),
-        F.col("last.o_orderdate").alias("exit_ts"),
-        F.when(F.col("last.o_orderpriority").isin(*INVOLUNTARY_PRIORITIES), "Involuntary")
-        .otherwise("Voluntary")
-        .alias("exit_type"),
+    involuntary = ", ".join(f"'{p}'" for p in INVOLUNTARY_PRIORITIES)
+    return (
+        order_summary(tables)
+        .where(f"last.o_orderstatus = 'F' AND o_custkey % {EXIT_GAP_MOD} <> {EXIT_GAP_REM}")
+        .selectExpr(
+            "last.o_orderkey AS exit_id",
+            "o_custkey AS person_id",
+            "last.o_orderdate AS exit_ts",
+            f"""CASE WHEN last.o_orderpriority IN ({involuntary}) THEN 'Involuntary'
+                     ELSE 'Voluntary' END AS exit_type""",
+        )
     )
 
 
 def measures(tables: TableReader) -> DataFrame:
     """Salary-like measures: one per order, with NULL / zero / negative amounts planted."""
-    key = F.col("o_orderkey")
-    bad = key % BAD_MEASURE_MOD
-    price = F.col("o_totalprice")
-    return tables("orders").select(
-        key.alias("measure_id"),
-        F.col("o_custkey").alias("person_id"),
-        F.col("o_orderdate").alias("effective_ts"),
-        F.when(bad == 0, F.lit(None).cast(AMOUNT_TYPE))
-        .when(bad == 1, F.lit(0).cast(AMOUNT_TYPE))
-        .when(bad == 2, (-price).cast(AMOUNT_TYPE))
-        .otherwise(price.cast(AMOUNT_TYPE))
-        .alias("amount"),
+    amount = AMOUNT_TYPE.simpleString()
+    return tables("orders").selectExpr(
+        "o_orderkey AS measure_id",
+        "o_custkey AS person_id",
+        "o_orderdate AS effective_ts",
+        f"""CASE o_orderkey % {BAD_MEASURE_MOD}
+                 WHEN 0 THEN CAST(NULL AS {amount})
+                 WHEN 1 THEN CAST(0 AS {amount})
+                 WHEN 2 THEN CAST(-o_totalprice AS {amount})
+                 ELSE CAST(o_totalprice AS {amount}) END AS amount""",
     )

@@ -11,17 +11,22 @@ from pyspark.sql import types as T
 from churnscope.functions._cols import as_list
 
 
-def row_salt(df: DataFrame, salts: int, by: str | Sequence[str] | None = None) -> Column:
-    """``pmod(xxhash64(by), salts)`` as int, in ``[0, salts)``.
+def row_hash(df: DataFrame, by: str | Sequence[str] | None = None) -> Column:
+    """``xxhash64`` of ``by`` (default: every column that can be hashed; maps cannot).
 
     A hash of the row rather than ``rand()``: when an executor is lost and a
     partition is recomputed, every row gets the same salt again, so the
-    shuffle it feeds stays consistent. ``by`` defaults to every column that
-    can be hashed (maps cannot).
+    shuffle it feeds stays consistent.
     """
     cols = (
         as_list(by)
         if by is not None
         else [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     )
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts)).cast("int")
+    return F.xxhash64(*[F.col(c) for c in cols])
+
+
+def row_salt(df: DataFrame, salts: int | Column, by: str | Sequence[str] | None = None) -> Column:
+    """``pmod(row_hash, salts)`` as int, in ``[0, salts)``; ``salts`` may be a per-row column."""
+    n = salts if isinstance(salts, Column) else F.lit(salts)
+    return F.pmod(row_hash(df, by), n).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions._cols import as_col, as_list
-from churnscope.functions.salting import row_salt
+from churnscope.functions.salting import row_hash
 from churnscope.functions.text import normalize_text
 
 _RN = "__rn"
@@ -49,20 +49,23 @@ def fd_map(
     dim_key: str | None = None,
     normalize: bool = True,
 ) -> DataFrame:
-    """``normalised determinant -> min(valid key)`` over ``source`` (columns ``__det``, ``__imputed``).
+    """``normalised determinant -> min(valid key)`` over ``source``.
 
-    Only keys present in ``dim`` count as evidence. The aggregation is
-    partial + final, so the map is one row per determinant value whatever
-    the source size or skew.
+    Columns ``__det``, ``__imputed`` and ``__n`` (rows of ``source`` with
+    that determinant, which sizes the salting of hot determinants). Only
+    keys present in ``dim`` count as evidence. One partial + final
+    aggregation: the map is one row per determinant value whatever the
+    source size or skew.
     """
     det = normalize_text(determinant) if normalize else F.col(determinant)
-    dim_keys = dim.select(F.col(dim_key or key).alias("__key"))
+    valid = dim.select(F.col(dim_key or key).alias("__valid"))
+    rows = source.select(det.alias("__det"), F.col(key).alias("__key")).where(
+        F.col("__det").isNotNull()
+    )
     return (
-        source.select(det.alias("__det"), F.col(key).alias("__key"))
-        .where(F.col("__det").isNotNull() & F.col("__key").isNotNull())
-        .join(dim_keys, "__key", "left_semi")
+        rows.join(valid, rows["__key"] == valid["__valid"], "left")
         .groupBy("__det")
-        .agg(F.min("__key").alias("__imputed"))
+        .agg(F.min("__valid").alias("__imputed"), F.count(F.lit(1)).alias("__n"))
     )
 
 
@@ -70,22 +73,54 @@ def salted_lookup(
     df: DataFrame,
     lookup: DataFrame,
     key: str,
+    *,
+    counts: DataFrame | None = None,
     salt_by: str | Sequence[str] | None = None,
-    salts: int = 32,
+    rows_per_salt: int = 1_000_000,
+    null_spread: int = 1024,
 ) -> DataFrame:
     """Left join ``df`` to ``lookup`` (one row per ``key``) with hot keys split.
 
-    Each lookup row is replicated ``salts`` times (salt 0..salts-1) and each
-    row of ``df`` gets the deterministic salt ``pmod(xxhash64(salt_by),
-    salts)``, so one key value held by a third of ``df`` is spread over
-    ``salts`` join partitions instead of one task. Salts are a hash of the
-    row, not random, so a recomputed partition after executor loss sends
-    every row to the same place again. A small lookup is still broadcast by
-    AQE (``salts`` x a few rows); the salt then costs nothing.
+    ``counts`` (``key``, ``__n``) gives the rows of ``df`` per key, or an
+    upper bound; by default it is computed from ``df``. A key with more than
+    ``rows_per_salt`` rows is hot and gets ``ceil(n / rows_per_salt)``
+    salts: its rows take the salt ``pmod(xxhash64(salt_by), salts)`` and its
+    lookup row is replicated once per salt, so each join task receives about
+    ``rows_per_salt`` rows of it however large it is. Other keys keep salt 0
+    and are not replicated. NULL keys never match; they are spread over
+    ``null_spread`` salts so that a NULL-heavy column does not meet in one
+    task either.
+
+    At most ``N / rows_per_salt`` keys can be hot (N = rows counted), so the
+    hot-key table has a proven size bound and is broadcast explicitly; the
+    lookup itself is left to AQE (broadcast when its measured size is small,
+    otherwise a sort-merge join on (key, salt)). Salts are row hashes, not
+    random, so recomputed partitions reproduce them.
     """
-    replicated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("__salt", row_salt(df, salts, salt_by))
-    return salted.join(replicated, [key, "__salt"], "left").drop("__salt")
+    if counts is None:
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(
+        counts.where(F.col("__n") > rows_per_salt).select(
+            F.col(key).alias("__hot"),
+            F.ceil(F.col("__n") / F.lit(rows_per_salt)).cast("int").alias("__salts"),
+        )
+    )
+    k = F.col(key)
+    left = df.withColumn("__h", row_hash(df, salt_by)).join(hot, k == F.col("__hot"), "left")
+    salt = (
+        F.when(k.isNull(), F.pmod(F.col("__h"), F.lit(null_spread)))
+        .when(F.col("__salts").isNotNull(), F.pmod(F.col("__h"), F.col("__salts")))
+        .otherwise(F.lit(0))
+        .cast("int")
+    )
+    left = left.withColumn("__salt", salt).drop("__h", "__hot", "__salts")
+    replicas = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
+    right = (
+        lookup.join(hot, k == F.col("__hot"), "left")
+        .withColumn("__salt", F.explode(replicas))
+        .drop("__hot", "__salts")
+    )
+    return left.join(right, [key, "__salt"], "left").drop("__salt")
 
 
 def impute_key_by_fd(
@@ -101,23 +136,24 @@ def impute_key_by_fd(
     output: str | None = None,
     normalize: bool = True,
     salt_by: str | Sequence[str] | None = None,
-    salts: int = 32,
+    rows_per_salt: int = 1_000_000,
 ) -> DataFrame:
     """Recover a bad foreign key through a functional dependency.
 
     A key is bad when NULL or one of ``sentinels`` (with ``valid_only``: also
     when absent from ``dim``). A bad key is replaced by the smallest valid
     key seen on any row of ``source`` (default ``df``; pass the raw,
-    undeduplicated table to use all evidence) whose normalised determinant
-    equals this row's; no evidence gives NULL. Any other key is kept as is,
-    including orphans that are not sentinels unless ``valid_only``.
-
-    Plan: the evidence map is pre-aggregated to one row per determinant.
-    AQE broadcasts it when its measured size is under the broadcast
-    threshold. Otherwise it is a shuffle join, and AQE cannot split a hot
+    undeduplicated table to use all evidence; it must contain ``df``'s rows)
+    whose normalised determinant equals this row's; no evidence gives NULL.
+    Any other key is kept as is, including orphans that are not sentinels
+    unless ``valid_only``.
+
+    Plan: the evidence map is one row per determinant, with the number of
+    source rows behind it. AQE broadcasts the map when its measured size is
+    small. Otherwise the join is a shuffle join, and AQE cannot split a hot
     determinant there (the map side is an aggregate, not a bare shuffle), so
-    the join is salted: ``salt_by`` (a unique column, default all columns)
-    spreads one determinant over ``salts`` partitions.
+    the join is salted in proportion to each determinant's row count
+    (``salted_lookup``); ``salt_by`` should be a unique column.
     """
     output = output or key
     evidence = fd_map(source if source is not None else df, determinant, key, dim, dim_key, normalize)
@@ -130,9 +166,19 @@ def impute_key_by_fd(
         known = (
             dim.select(F.col(dim_key or key).alias(key)).distinct().withColumn("__known", F.lit(True))
         )
-        out = salted_lookup(out, known, key, salt_by, salts)
+        out = salted_lookup(out, known, key, salt_by=salt_by, rows_per_salt=rows_per_salt)
         bad = bad | F.col("__known").isNull()
-    out = salted_lookup(out.withColumn("__det", det), evidence, "__det", salt_by, salts)
+    # The row counts cost one more narrow aggregation of the source (the
+    # determinant column only); when no determinant is hot, AQE finds the
+    # broadcast hot-key table empty and removes its joins.
+    out = salted_lookup(
+        out.withColumn("__det", det),
+        evidence.select("__det", "__imputed"),
+        "__det",
+        counts=evidence.select("__det", "__n"),
+        salt_by=salt_by,
+        rows_per_salt=rows_per_salt,
+    )
     return out.withColumn(
         output, F.when(bad, F.col("__imputed")).otherwise(F.col(key))
     ).drop("__det", "__imputed", "__known")

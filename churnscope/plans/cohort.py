@@ -62,6 +62,7 @@ def clean_people(
     sentinels=SENTINEL_UNITS,
     valid_only: bool = False,
     natural_key=NATURAL_KEY,
+    rows_per_salt: int = 1_000_000,
 ) -> DataFrame:
     """Deduplicated people with a normalised role and a recovered unit key.
 
@@ -80,6 +81,7 @@ def clean_people(
         valid_only=valid_only,
         output="clean_unit_id",
         salt_by="person_id",
+        rows_per_salt=rows_per_salt,
     )
     return imputed.withColumn("clean_role", normalize_text("role_raw")).select(
         *clean_columns(people.columns)

@@ -11,7 +11,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from churnscope.operators import audit
+from churnscope.operators import audit, cleaning
 from churnscope.plans import cohort, staging
 from churnscope.sources import bindings
 from churnscope.sources.tables import table_reader
@@ -125,8 +125,11 @@ def test_key_recovery_hot_role_is_split(spark):
     )
     n_people = people.where("person_id IS NOT NULL").count()
     n_hot = people.where(hot).count()
+    # At test scale a "hot" determinant is one with more than 25 rows (about 21 salts
+    # for the hot role, so their hashes cover the 8 partitions).
     stats = _run_with_conf(
-        spark, FORCE_SHUFFLE_JOINS, "skew-role", cohort.clean_people(skewed, bindings.units(t))
+        spark, FORCE_SHUFFLE_JOINS, "skew-role",
+        cohort.clean_people(skewed, bindings.units(t), rows_per_salt=25),
     )
     # The stage joining deduplicated people (about n_people rows) with the salted map.
     # The result stage joins the deduplicated people with the salted role map.
@@ -135,3 +138,35 @@ def test_key_recovery_hot_role_is_split(spark):
     assert join_stage["read"] >= n_people - 30
     # Unsalted, one task would read every person of the hot role.
     assert join_stage["max_read"] < n_hot * 0.8, join_stage
+
+
+def test_salted_lookup_equals_plain_left_join(spark):
+    df = spark.createDataFrame(
+        [(i, k) for i, k in enumerate(["a"] * 9 + ["b"] * 3 + [None] * 5 + ["zz"] * 4 + ["c"])],
+        "id long, k string",
+    )
+    lookup = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "k string, v int")
+    plain = df.join(lookup, "k", "left")
+    for rows_per_salt in (1, 2, 100):
+        salted = cleaning.salted_lookup(df, lookup, "k", salt_by="id", rows_per_salt=rows_per_salt)
+        assert sorted(map(tuple, salted.select("id", "k", "v").collect()), key=str) == sorted(
+            map(tuple, plain.select("id", "k", "v").collect()), key=str
+        )
+
+
+def test_key_recovery_null_roles_are_spread(spark):
+    """A third of the people without a role: they can never match the role
+    map and are spread over many join tasks instead of meeting in one."""
+    t = table_reader(spark, SF)
+    people = bindings.people(t)
+    no_role = F.col("person_id") % 3 == 0
+    skewed = people.withColumn("role_raw", F.when(no_role, None).otherwise(F.col("role_raw")))
+    n_people = people.where("person_id IS NOT NULL").count()
+    n_null = people.where(no_role).count()
+    stats = _run_with_conf(
+        spark, FORCE_SHUFFLE_JOINS, "skew-null-role", cohort.clean_people(skewed, bindings.units(t))
+    )
+    join_stage = stats[max(stats)]
+    assert join_stage["tasks"] == 8 and join_stage["written"] == 0
+    assert join_stage["read"] >= n_people - 30
+    assert join_stage["max_read"] < n_null * 0.8, join_stage

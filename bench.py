@@ -16,12 +16,14 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from churnscope.catalog import QUERIES  # noqa: E402
 from churnscope.plans import cohort, report  # noqa: E402
+from churnscope.plans.staging import checkpoint_root, ensure_checkpoint_dir  # noqa: E402
 from churnscope.session import build_session  # noqa: E402
 from churnscope.sources.tables import table_reader  # noqa: E402
 
@@ -46,6 +48,9 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app="churnscope-bench")
+    # A local run: use the session's checkpoint folder, or a scratch one if none is set.
+    if not checkpoint_root(spark):
+        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="churnscope-bench-ckpt-"))
     keys = only or list(QUERIES)
 
     for k in keys:  # warm-up: JIT, codegen caches, file listing

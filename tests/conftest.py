@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import types as T  # noqa: E402
 
-from churnscope.plans.staging import ensure_checkpoint_dir  # noqa: E402
+from churnscope.plans.staging import checkpoint_root, ensure_checkpoint_dir  # noqa: E402
 from churnscope.session import build_session  # noqa: E402
 from churnscope.sources.bindings import AMOUNT_TYPE, PEOPLE_SCHEMA  # noqa: E402
 
@@ -56,7 +56,8 @@ def spark():
         },
     )
     # Only when the session names no checkpoint folder (as on a laptop).
-    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="churnscope-ckpt-"))
+    if not checkpoint_root(s):
+        ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="churnscope-ckpt-"))
     yield s
 
 

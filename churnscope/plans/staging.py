@@ -19,7 +19,10 @@ def checkpoint_root(spark: SparkSession) -> str | None:
     """The folder named by ``spark.checkpoint.dir`` (or set via setCheckpointDir)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        try:
+            root = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext on a Spark Connect session
+            root = None
     return root or None
 
 
@@ -28,7 +31,10 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     root = checkpoint_root(spark)
     if root:
         return root
-    spark.sparkContext.setCheckpointDir(fallback)
+    try:
+        spark.sparkContext.setCheckpointDir(fallback)
+    except Exception:  # Spark Connect: no SparkContext; a session conf instead
+        spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 

@@ -17,6 +17,26 @@ from churnscope.functions._cols import as_col, as_list
 from churnscope.functions.numeric import day_number, round_half_up, rounded_percent
 
 
+def _population(
+    population: DataFrame,
+    dim: DataFrame | None,
+    dim_on: tuple[str, str] | None,
+    dim_how: str,
+    where: Column | None,
+) -> DataFrame:
+    """Optional filter, then the optional dimension join (``dim_on`` = (population
+    column, dimension column)). An inner join drops keys missing from the
+    dimension; ``dim_how='left_semi'`` uses the dimension only as a filter."""
+    if where is not None:
+        population = population.where(where)
+    if dim is None:
+        return population
+    fk, pk = dim_on if dim_on is not None else (None, None)
+    if fk is None:
+        raise ValueError("dim_on=(population_column, dimension_column) is required with dim")
+    return population.join(dim, population[fk] == dim[pk], dim_how)
+
+
 def _hit_keys(events: DataFrame, key: str, extra: Sequence[str] = ()) -> DataFrame:
     """Distinct (event key, extra...) rows with a non-NULL key.
 
@@ -39,6 +59,10 @@ def rate_by_group(
     by: str | Sequence[str],
     *,
     event_on: str | None = None,
+    dim: DataFrame | None = None,
+    dim_on: tuple[str, str] | None = None,
+    dim_how: str = "inner",
+    where: Column | None = None,
     total: str = "total",
     hits: str = "hits",
     rate: str = "rate",
@@ -46,12 +70,14 @@ def rate_by_group(
 ) -> DataFrame:
     """Event rate per group.
 
-    ``population`` has one row per entity (id ``on``) and carries the group
-    columns ``by``. total = entities per group, hits = entities with at least
-    one event, rate = ROUND(hits / total * 100, digits) with ties away from
-    zero and NULL instead of a division error.
+    ``population`` has one row per entity (id ``on``, not NULL) and carries
+    the group columns ``by``, or gets them from ``dim``. total = entities per
+    group, hits = entities with at least one event, rate = ROUND(hits /
+    total * 100, digits) with ties away from zero and NULL instead of a
+    division error.
     """
     keys = as_list(by)
+    population = _population(population, dim, dim_on, dim_how, where)
     hit = _hit_keys(events, event_on or on)
     joined = population.join(hit, population[on] == hit["__hit"], "left")
     return (
@@ -69,6 +95,10 @@ def split_rate_by_group(
     split: str,
     *,
     event_on: str | None = None,
+    dim: DataFrame | None = None,
+    dim_on: tuple[str, str] | None = None,
+    dim_how: str = "inner",
+    where: Column | None = None,
     total: str = "total",
     hits: str = "hits",
     rate: str = "rate",
@@ -82,6 +112,7 @@ def split_rate_by_group(
     type has no row for it. An entity counts once per type.
     """
     keys = as_list(by)
+    population = _population(population, dim, dim_on, dim_how, where)
     denom = population.groupBy(*keys).agg(F.count(on).alias(total))
     denom = denom.select(*[F.col(k).alias(f"__d_{k}") for k in keys], total)
     hit = _hit_keys(events, event_on or on, [split])
@@ -148,6 +179,10 @@ def mean_elapsed_by_group(
     end: str,
     *,
     event_on: str | None = None,
+    dim: DataFrame | None = None,
+    dim_on: tuple[str, str] | None = None,
+    dim_how: str = "inner",
+    where: Column | None = None,
     unit_days: int = 365,
     name: str = "mean_years",
     digits: int = 2,
@@ -164,6 +199,7 @@ def mean_elapsed_by_group(
     is sum(days) / (count * unit_days) with a single division.
     """
     keys = as_list(by)
+    population = _population(population, dim, dim_on, dim_how, where)
     end_day = day_number(end)
     # Undated events still make the entity join (as in a plain inner join)
     # but add no span: __k counts dated events only.

@@ -103,9 +103,9 @@ def latest_measure(measures: DataFrame) -> DataFrame:
     )
 
 
-def _with_unit(clean: DataFrame, units: DataFrame, how: str = "inner") -> DataFrame:
-    """People with their unit row; the inner join drops unrecoverable keys."""
-    return clean.join(units, clean["clean_unit_id"] == units["unit_id"], how)
+# People join their unit on the recovered key; the inner join drops
+# unrecoverable keys.
+UNIT_ON = ("clean_unit_id", "unit_id")
 
 
 # ---------------------------------------------------------------- metrics
@@ -118,7 +118,7 @@ def attrition_by_unit(clean: DataFrame, units: DataFrame, exits: DataFrame) -> D
     stay two rows.
     """
     out = metrics.rate_by_group(
-        _with_unit(clean, units), exits, "person_id", ["unit_id", "unit_name"],
+        clean, exits, "person_id", ["unit_id", "unit_name"], dim=units, dim_on=UNIT_ON,
         total="total", hits="leavers", rate="rate",
     )
     return out.orderBy(F.desc("rate"), "unit_name", "unit_id").select(
@@ -129,8 +129,8 @@ def attrition_by_unit(clean: DataFrame, units: DataFrame, exits: DataFrame) -> D
 def attrition_by_unit_and_type(clean: DataFrame, units: DataFrame, exits: DataFrame) -> DataFrame:
     """Q2: leavers of each exit type / the unit's whole headcount."""
     out = metrics.split_rate_by_group(
-        _with_unit(clean, units), exits, "person_id", ["unit_id", "unit_name"], "exit_type",
-        total="total", hits="leavers", rate="rate",
+        clean, exits, "person_id", ["unit_id", "unit_name"], "exit_type",
+        dim=units, dim_on=UNIT_ON, total="total", hits="leavers", rate="rate",
     )
     return out.orderBy("unit_name", "exit_type", "unit_id").select(
         "unit_name", "total", "exit_type", "leavers", "rate"
@@ -140,12 +140,10 @@ def attrition_by_unit_and_type(clean: DataFrame, units: DataFrame, exits: DataFr
 def attrition_by_rating(clean: DataFrame, units: DataFrame, exits: DataFrame) -> DataFrame:
     """Q3: rate per performance rating; unrated people and people without a
     valid unit are left out (the unit join acts only as a filter)."""
-    pop = (
-        clean.where(F.col("rating").isNotNull())
-        .join(units, clean["clean_unit_id"] == units["unit_id"], "left_semi")
-    )
     out = metrics.rate_by_group(
-        pop, exits, "person_id", ["rating"], total="total", hits="leavers", rate="rate"
+        clean, exits, "person_id", ["rating"],
+        dim=units, dim_on=UNIT_ON, dim_how="left_semi", where=F.col("rating").isNotNull(),
+        total="total", hits="leavers", rate="rate",
     )
     return out.orderBy(F.desc("rate"), "rating")
 
@@ -168,8 +166,8 @@ def measure_gap_by_role(clean: DataFrame, measures: DataFrame) -> DataFrame:
 def tenure_before_exit_by_unit(clean: DataFrame, units: DataFrame, exits: DataFrame) -> DataFrame:
     """Q5: mean years from start to exit per unit, leavers only, shortest first."""
     out = metrics.mean_elapsed_by_group(
-        _with_unit(clean, units), exits, "person_id", ["unit_id", "unit_name"],
-        "start_ts", "exit_ts", name="mean_years",
+        clean, exits, "person_id", ["unit_id", "unit_name"], "start_ts", "exit_ts",
+        dim=units, dim_on=UNIT_ON, name="mean_years",
     )
     return out.orderBy(F.asc_nulls_first("mean_years"), "unit_name", "unit_id").select(
         "unit_name", "mean_years"

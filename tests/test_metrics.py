@@ -162,3 +162,18 @@ def test_mean_elapsed_counts_every_event_and_skips_undated(spark):
     # group 1: spans 10, 30 (person 1), 30 (person 2); person 3 has no start -> (10+30+30)/3
     # group 2: its only event has no date -> no span, NULL mean
     assert rows(out) == [(1, D("23.33")), (2, None)]
+
+
+def test_rate_by_group_dim_and_where(spark, mk):
+    import pytest
+
+    pop = spark.createDataFrame([(1, 1, 5), (2, 1, None), (3, 7, 5)], "id long, u int, r int")
+    dim = spark.createDataFrame([(1, "Sales")], "unit_id int, unit_name string")
+    ev = spark.createDataFrame([(1,), (3,)], "id long")
+    inner = metrics.rate_by_group(pop, ev, "id", ["unit_name"], dim=dim, dim_on=("u", "unit_id"))
+    assert rows(inner) == [("Sales", 2, 1, D("50.00"))]  # unit 7 is not in the dimension
+    semi = metrics.rate_by_group(pop, ev, "id", ["r"], dim=dim, dim_on=("u", "unit_id"),
+                                 dim_how="left_semi", where=F.col("r").isNotNull())
+    assert rows(semi) == [(5, 1, 1, D("100.00"))]
+    with pytest.raises(ValueError):
+        metrics.rate_by_group(pop, ev, "id", ["u"], dim=dim)

@@ -6,8 +6,6 @@ returns a lazy DataFrame; nothing runs until the caller acts on it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,21 +29,44 @@ def clean_columns(people_columns: list[str]) -> list[str]:
     return cols + ["clean_unit_id"]
 
 
-@dataclass(frozen=True)
+_ROLE_BUILDERS = {
+    "people": bindings.people,
+    "units": bindings.units,
+    "exits": bindings.exits,
+    "measures": bindings.measures,
+}
+
+
 class CohortInputs:
-    people: DataFrame
-    units: DataFrame
-    exits: DataFrame
-    measures: DataFrame
+    """The four input roles: given directly, or derived from the driver
+    tables on first use (a query that needs only the units never builds the
+    people binding)."""
+
+    def __init__(
+        self,
+        people: DataFrame | None = None,
+        units: DataFrame | None = None,
+        exits: DataFrame | None = None,
+        measures: DataFrame | None = None,
+    ):
+        self._roles = {"people": people, "units": units, "exits": exits, "measures": measures}
+        self._tables: TableReader | None = None
 
     @classmethod
     def from_tables(cls, tables: TableReader) -> CohortInputs:
-        return cls(
-            people=bindings.people(tables),
-            units=bindings.units(tables),
-            exits=bindings.exits(tables),
-            measures=bindings.measures(tables),
-        )
+        inputs = cls()
+        inputs._tables = tables
+        return inputs
+
+    def _role(self, name: str) -> DataFrame:
+        if self._roles[name] is None and self._tables is not None:
+            self._roles[name] = _ROLE_BUILDERS[name](self._tables)
+        return self._roles[name]
+
+    people = property(lambda self: self._role("people"))
+    units = property(lambda self: self._role("units"))
+    exits = property(lambda self: self._role("exits"))
+    measures = property(lambda self: self._role("measures"))
 
 
 # ---------------------------------------------------------------- cleaning

@@ -52,6 +52,7 @@ def hr_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     clean = cohort.clean_people(i.people, i.units, natural_key=hr.NATURAL_KEY)
     clean_view = employees_clean(i)
 
+    # Output column names of the original queries.
     rate_names = {"unit_name": "department_name", "total": "total_employees",
                   "leavers": "total_leavers", "rate": "attrition_rate"}
     return {

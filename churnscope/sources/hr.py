@@ -20,6 +20,9 @@ from churnscope.sources.tables import table_path
 
 _I, _S, _D = T.IntegerType(), T.StringType(), T.DateType()
 
+# Table names, column names and types of the original HR layout,
+# and the original natural key of a person. They must match for the tables of
+# a user of the original scripts to load unchanged.
 SCHEMAS: dict[str, T.StructType] = {
     "departments": T.StructType(
         [T.StructField("department_id", _I), T.StructField("department_name", _S)]

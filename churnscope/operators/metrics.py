@@ -106,24 +106,52 @@ def split_rate_by_group(
 ) -> DataFrame:
     """Event rate per group and event type over a fixed denominator.
 
-    The denominator is the group's whole population, computed before the
-    split and joined back (null-safe on the group keys), so each type's rate
-    is hits of that type / everyone in the group. A group with no event of a
-    type has no row for it. An entity counts once per type.
+    The denominator is the group's whole population, so each type's rate is
+    entities with an event of that type / everyone in the group. A group
+    with no event of a type has no row for it. An entity counts once per
+    type.
+
+    One pass over the population: events are reduced to one row per entity
+    holding the sorted set of its event types (bounded by the number of
+    types), the population left-joins it one to one, ``posexplode_outer``
+    gives a row per (entity, type), and a single aggregation with grouping
+    sets counts entities per (group, type) and per group (each entity's
+    first row); a window over those few rows per group attaches the group
+    total to each type.
     """
     keys = as_list(by)
     population = _population(population, dim, dim_on, dim_how, where)
-    denom = population.groupBy(*keys).agg(F.count(on).alias(total))
-    denom = denom.select(*[F.col(k).alias(f"__d_{k}") for k in keys], total)
-    hit = _hit_keys(events, event_on or on, [split])
-    per_type = (
-        population.join(hit, population[on] == hit["__hit"], "inner")
-        .groupBy(*keys, split)
-        .agg(F.count(population[on]).alias(hits))
+    key = event_on or on
+    types = (
+        events.where(F.col(key).isNotNull() & F.col(split).isNotNull())
+        .groupBy(F.col(key).alias("__hit"))
+        .agg(F.array_sort(F.collect_set(split)).alias("__types"))
     )
-    cond = [per_type[k].eqNullSafe(denom[f"__d_{k}"]) for k in keys]
-    return per_type.join(denom, cond, "inner").select(
-        *keys, total, split, hits, rounded_percent(hits, total, digits).alias(rate)
+    joined = population.join(types, population[on] == types["__hit"], "left")
+    rows = joined.select(
+        *keys, population[on].alias("__id"), F.posexplode_outer("__types").alias("__pos", "__type")
+    )
+    first_row = (F.col("__pos") == 0) | F.col("__pos").isNull()
+    counted = rows.groupingSets([[*keys, "__type"], keys], *keys, "__type").agg(
+        F.count(F.when(F.col("__type").isNotNull(), F.col("__id"))).alias("__hits"),
+        F.count(F.when(first_row, F.col("__id"))).alias("__total"),
+        F.grouping("__type").alias("__level"),
+    )
+    # The group's total sits on its grouping-set row; a window over the
+    # aggregated rows (a few per group) hands it to the per-type rows.
+    group_total = F.max(F.when(F.col("__level") == 1, F.col("__total"))).over(
+        Window.partitionBy(*keys)
+    )
+    return (
+        counted.withColumn(total, group_total)
+        .where((F.col("__level") == 0) & F.col("__type").isNotNull())
+        .select(
+            *keys,
+            total,
+            F.col("__type").alias(split),
+            F.col("__hits").alias(hits),
+            rounded_percent("__hits", total, digits).alias(rate),
+        )
     )
 
 

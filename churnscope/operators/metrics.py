@@ -37,19 +37,15 @@ def _population(
     return population.join(dim, population[fk] == dim[pk], dim_how)
 
 
-def _hit_keys(events: DataFrame, key: str, extra: Sequence[str] = ()) -> DataFrame:
-    """Distinct (event key, extra...) rows with a non-NULL key.
+def _hit_keys(events: DataFrame, key: str) -> DataFrame:
+    """Distinct non-NULL event keys.
 
     Reducing the events to one row per entity first means an entity with
     several events is counted once and cannot inflate the population count
     of a left join. The aggregation leaves the result hash-partitioned on the
     key, which the following join on that key reuses.
     """
-    cols = [F.col(key).alias("__hit")] + [F.col(c) for c in extra]
-    cond = F.col("__hit").isNotNull()
-    for c in extra:
-        cond = cond & F.col(c).isNotNull()
-    return events.select(*cols).where(cond).distinct()
+    return events.select(F.col(key).alias("__hit")).where(F.col("__hit").isNotNull()).distinct()
 
 
 def rate_by_group(

@@ -52,9 +52,12 @@ def hr_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     clean = cohort.clean_people(i.people, i.units, natural_key=hr.NATURAL_KEY)
     clean_view = employees_clean(i)
 
-    # Output column names of the original queries.
+    # Output column names and verification labels of the original queries.
     rate_names = {"unit_name": "department_name", "total": "total_employees",
                   "leavers": "total_leavers", "rate": "attrition_rate"}
+    check_names = {"raw_people": "raw_employees", "clean_people": "clean_employees",
+                   "remaining_bad_units": "remaining_bad_depts", "raw_measures": "raw_salary_rows",
+                   "clean_measures": "clean_salary_rows"}
     return {
         # --- audit
         "row_counts": audit.row_counts(
@@ -80,7 +83,9 @@ def hr_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         # --- cleaning and its verification
         "employees_clean": clean_view,
         "salary_clean": salary_clean(i),
-        "verification": cohort.quality(i.people, clean, i.measures, natural_key=hr.NATURAL_KEY),
+        "verification": cohort.quality(
+            i.people, clean, i.measures, natural_key=hr.NATURAL_KEY
+        ).replace(check_names, subset=["check_name"]),
         "distinct_clean_job_roles": audit.distinct_values(clean_view, "clean_job_role"),
         # --- the five questions
         "attrition_by_department": _rename(cohort.attrition_by_unit(clean, i.units, i.exits), rate_names),

@@ -85,11 +85,11 @@ def test_cleaning(tables):
     assert r["salary_clean"].count() == 9
     checks = {x.check_name: (x.actual, x.expected, x.passed) for x in r["verification"].collect()}
     assert checks == {
-        "raw_people": (10, None, None),
-        "clean_people": (8, 8, True),
-        "remaining_bad_units": (1, 0, False),  # Hal Wu's role exists nowhere else
-        "raw_measures": (12, None, None),
-        "clean_measures": (9, 9, True),
+        "raw_employees": (10, None, None),
+        "clean_employees": (8, 8, True),
+        "remaining_bad_depts": (1, 0, False),  # Hal Wu's role exists nowhere else
+        "raw_salary_rows": (12, None, None),
+        "clean_salary_rows": (9, 9, True),
     }
     assert [x[0] for x in r["distinct_clean_job_roles"].collect()] == [
         "analyst", "counsel", "nowhere", "sales rep"]

@@ -106,3 +106,34 @@ def hr_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             {"unit_name": "department_name", "mean_years": "avg_tenure_years"},
         ),
     }
+
+
+def write_report(results: dict[str, DataFrame], out: str, fmt: str = "parquet", **options) -> None:
+    """Write every result under ``out/<name>`` (one job per result, no driver collection)."""
+    for name, df in results.items():
+        df.write.mode("overwrite").format(fmt).options(**options).save(f"{out.rstrip('/')}/{name}")
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m churnscope.plans.hr --input DIR [--format csv] --output DIR``"""
+    import argparse
+
+    from churnscope.session import build_session
+
+    ap = argparse.ArgumentParser(description="Run the original audit, cleaning and analysis on HR tables.")
+    ap.add_argument("--input", required=True, help="folder with employees, departments, ... tables")
+    ap.add_argument("--format", default="parquet", help="input file format (parquet, csv, json, orc)")
+    ap.add_argument("--output", required=True, help="folder for the results, one sub-folder each")
+    ap.add_argument("--output-format", default="parquet")
+    ap.add_argument("--master", default=None, help="Spark master when run outside spark-submit")
+    args = ap.parse_args(argv)
+    # Without --master, the launcher (spark-submit) decides master and partitions.
+    spark = build_session(master=args.master, shuffle_partitions=None)
+    opts = {"header": "true"} if args.format == "csv" else {}
+    results = hr_report(hr.read_hr_tables(spark, args.input, args.format, **opts))
+    out_opts = {"header": "true"} if args.output_format == "csv" else {}
+    write_report(results, args.output, args.output_format, **out_opts)
+
+
+if __name__ == "__main__":
+    main()

@@ -20,14 +20,20 @@ RECOMMENDED_CONF = {
 
 
 def build_session(
-    master: str = "local[8]",
-    shuffle_partitions: int = 8,
+    master: str | None = "local[8]",
+    shuffle_partitions: int | None = 8,
     app: str = "churnscope",
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    b = SparkSession.builder.master(master).appName(app)
+    """A session with the recommended settings. ``master=None`` and
+    ``shuffle_partitions=None`` leave both to the launcher (spark-submit on a
+    cluster)."""
+    b = SparkSession.builder.appName(app)
+    if master is not None:
+        b = b.master(master)
     conf = dict(RECOMMENDED_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -130,3 +130,15 @@ def test_hr_tables_round_trip_through_files(spark, tables, tmp_path):
         back = read_hr_tables(spark, str(tmp_path), fmt, **opts)
         assert rows(hr_report(back)["attrition_by_department"]) == rows(
             hr_report(tables)["attrition_by_department"])
+
+
+def test_command_line_writes_every_result(spark, tables, tmp_path):
+    from churnscope.plans.hr import main
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    for name, df in tables.items():
+        df.write.option("header", True).csv(str(src / name))
+    main(["--input", str(src), "--format", "csv", "--output", str(out)])
+    back = spark.read.parquet(str(out / "attrition_by_department"))
+    assert rows(back) == rows(hr_report(tables)["attrition_by_department"])
+    assert len(list(out.iterdir())) == len(hr_report(tables))

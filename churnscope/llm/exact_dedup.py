@@ -29,6 +29,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     "spark.sql.streaming.stateStore.minDeltasForSnapshot": "10",
+    # Many small state stores: no space allocated ahead for each one's logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 

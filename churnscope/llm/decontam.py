@@ -43,7 +43,7 @@ class LeakParams:
 
     window: int = 80
     stride: int = 40
-    budget: float = 0.1
+    budget: float = 0.0875
     min_chars: int = 32
     block_chars: int = 4 << 20
 
@@ -58,6 +58,9 @@ def _word_table() -> np.ndarray:
     return t
 
 
+WORD_CODES = _word_table()
+
+
 def normalise(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes (one byte a character) and their positions in ``codes`` (code points).
 
@@ -66,7 +69,7 @@ def normalise(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     texts closer, and separators of the general punctuation and CJK blocks are
     gaps. Code point END stays as it is.
     """
-    table = _word_table()
+    table = WORD_CODES
     out = np.where(codes < 0x250, table[np.minimum(codes, 0x24F)], (128 + codes % 128).astype(np.uint8))
     out[((codes >= 0x2000) & (codes < 0x2070)) | ((codes >= 0x3000) & (codes < 0x3040))] = 0
     out[codes == END] = END
@@ -160,8 +163,8 @@ def retained(codes: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
     if least > 1:
         dense = at[least - 1 :] - at[: len(at) - least + 1] <= reach
         mark = np.zeros(len(at) + 1, np.int64)
-        np.add.at(mark, np.flatnonzero(dense), 1)
-        np.add.at(mark, np.flatnonzero(dense) + least, -1)
+        mark[np.flatnonzero(dense)] += 1
+        mark[np.flatnonzero(dense) + least] -= 1
         inside = np.cumsum(mark[:-1]) > 0
         at, slot = at[inside], slot[inside]
         if not len(at):
@@ -189,16 +192,16 @@ def align(codes: np.ndarray, ix: Index, window: np.ndarray, diagonal: np.ndarray
         k = int(ix.edits[w].max())
         low, wide = d - k, 4 * k + 2  # the band and k more on either side
         step = np.arange(wide)
-        unit = 1 << 16  # value: edits * unit + diagonal the passage began on
-        v = np.broadcast_to(step, (len(w), wide)).astype(np.int64)
-        best = np.full((len(w), wide), np.iinfo(np.int64).max // 2)
+        unit = 1 << 12  # value: edits * unit + diagonal the passage began on
+        v = np.broadcast_to(step, (len(w), wide)).astype(np.int32)
+        best = np.full((len(w), wide), np.iinfo(np.int32).max, np.int32)
+        step = step.astype(np.int32)
+        around = np.concatenate([np.zeros(1, np.uint8), codes, np.zeros(1, np.uint8)])
         n = ix.length[w]
         for i in range(int(n.max())):
             at = low[:, None] + i + step
-            inside = (at >= 0) & (at < len(codes))
-            x = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], 0)
-            same = x == ix.text[w, np.minimum(i, ix.text.shape[1] - 1)][:, None]
-            nxt = v + unit * ~same
+            x = around[np.clip(at + 1, 0, len(around) - 1)]
+            nxt = v + np.where(x == ix.text[w, i][:, None], np.int32(0), np.int32(unit))
             nxt[:, :-1] = np.minimum(nxt[:, :-1], v[:, 1:] + unit)
             v = np.minimum.accumulate(nxt - unit * step, 1) + unit * step
             done = n == i + 1

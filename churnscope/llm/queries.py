@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import exact_dedup, warc
+from churnscope.llm import decontam, exact_dedup, secrets, setsketch_dedup, url_filter, warc
 from churnscope.llm.common import shared_path, table
 
 
@@ -25,9 +25,48 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, locator=locator).drop("keep_locator")
 
 
+#: The contract's rules; longest wins. Pattern rules of the operator judge the other URLs.
+URL_RULES = (
+    url_filter.HostRule("allow", "org"),
+    url_filter.HostRule("block", "example.org", "/es/"),
+    url_filter.HostRule("block", "example.org", "/en/1"),
+    url_filter.HostRule("allow", "com", "/fr/"),
+    url_filter.HostRule("block", "com", "/de/"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES + url_filter.PATTERNS)
+    return judged.drop("pattern")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), params=setsketch_dedup.SketchParams(words=2))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -54,4 +93,55 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(encode(norm)) AS text_sha256
         FROM w
     """,
+    "op4_url_filter": r"""
+        WITH u AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), r AS (
+            SELECT *, CASE
+                WHEN regexp_matches(host || path, '^([^/]*\.)?example\.org/en/1') THEN 'example.org/en/1'
+                WHEN regexp_matches(host || path, '^([^/]*\.)?example\.org/es/') THEN 'example.org/es/'
+                WHEN regexp_matches(host || path, '^([^/]*\.)?com/fr/') THEN 'com/fr/'
+                WHEN regexp_matches(host || path, '^([^/]*\.)?com/de/') THEN 'com/de/'
+                WHEN regexp_matches(host || path, '^([^/]*\.)?org/') THEN 'org/'
+            END AS rule
+            FROM u
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])(ads|adserver|doubleclick|tracker|popup|casino|poker|bets|betting|gambling|adult|porn|xxx|sex|escort|pills|viagra|pharmacy|spam|warez|torrent|replica-watches)([^a-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(lower(host || path), '/wp-login\.php|/affiliate/.*/click([^a-z0-9]|$)') THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM r
+    """,
+    "op8_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE
+                WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))
+                WHEN len(ws) = 1 THEN [ws[1]] ELSE [] END AS sh
+            FROM w
+        ), t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id
+                AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach AS (
+            SELECT doc_id, doc_id AS seen FROM s
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.seen = l.a
+        ), c AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+        SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN c USING (doc_id)
+    """,
 }

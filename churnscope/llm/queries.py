@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontam, exact_dedup, secrets, setsketch_dedup, url_filter, warc
+from churnscope.llm import decontam, exact_dedup, secrets, setsketch_dedup, toxicity, url_filter, warc
 from churnscope.llm.common import shared_path, table
 
 
@@ -25,6 +25,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, locator=locator).drop("keep_locator")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 #: The contract's rules; longest wins. Pattern rules of the operator judge the other URLs.
 URL_RULES = (
     url_filter.HostRule("allow", "org"),
@@ -63,6 +68,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op8_minhash_dedup": op8_minhash_dedup,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontam, exact_dedup, secrets, setsketch_dedup, toxicity, url_filter, warc
+from churnscope.llm import decontam, exact_dedup, mixing, secrets, setsketch_dedup, toxicity, url_filter, warc
 from churnscope.llm.common import shared_path, table
 
 
@@ -57,6 +57,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), params=setsketch_dedup.SketchParams(words=2))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
+    "op7_source_mixing": op7_source_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": op9_decontamination,
 }

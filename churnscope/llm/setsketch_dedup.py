@@ -15,7 +15,10 @@ No group is ever expanded into all its pairs:
 2. star rounds: within a band bucket members are compared with one centre per
    round, each member with a single centre, and linked parts are contracted;
 3. the exact rest: of each bucket only pairs from different components are
-   compared, which a dense group has few of once its stars have been linked.
+   compared, block by block inside the tasks on their sketches and on the
+   leading bits of their sets; only those that may be linked leave the task.
+   A first pass takes one pair a member and part, the second all that are
+   then still in different parts.
 
 Every pair that shares a band is so verified, or lies in one component, or has
 an estimate far below the threshold.
@@ -41,10 +44,12 @@ class SketchParams:
     """``words`` a shingle; link at ``percent`` similarity or more.
 
     At similarity 0.8 a pair shares none of 30 bands of 5 registers with a
-    probability of 5e-6. ``slack``: estimates this far under the threshold are
-    dropped unverified (6 standard deviations of 150 registers). Star rounds
-    end early once at most ``few`` comparisons per bucket member are left;
-    results don't depend on their number.
+    probability of 5e-6. ``more`` registers beside the bands' sharpen the
+    estimate. ``slack``: estimates this far under the threshold are dropped
+    unverified (4.3 standard deviations of 300 registers at 0.8, 2e-5). Star
+    rounds end early once at most ``few`` comparisons per bucket member are
+    left; results don't depend on their number. ``block`` members of a bucket
+    are compared with as many others in one task.
     """
 
     words: int = 5
@@ -53,13 +58,15 @@ class SketchParams:
     bands: int = 30
     base: float = 1.1
     rate: float = 20.0
-    slack: float = 0.2
-    star_rounds: int = 4
+    more: int = 150
+    slack: float = 0.1
+    star_rounds: int = 2
     few: int = 3
+    block: int = 256
 
     @property
     def registers(self) -> int:
-        return self.rows * self.bands
+        return self.rows * self.bands + self.more
 
 
 def _seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +86,7 @@ def sketch(h: np.ndarray, starts: np.ndarray, p: SketchParams) -> np.ndarray:
 
 def band_keys(registers: np.ndarray, p: SketchParams) -> np.ndarray:
     """A 64-bit key for each band of each document."""
-    r = registers.reshape(len(registers), p.bands, p.rows).astype(np.uint64)
+    r = registers[:, : p.rows * p.bands].reshape(len(registers), p.bands, p.rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(p.bands, dtype=np.uint64), r.shape[:2]).copy()
     for j in range(p.rows):
         key = textvec.mix(key * np.uint64(0x9E3779B97F4A7C15) + r[:, :, j] + np.uint64(1))
@@ -113,6 +120,22 @@ def _signer(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
+def _compact(h: np.ndarray) -> bytes:
+    """The leading bits of a sorted set: 16 of each number, 32 in sets over 1,024."""
+    return ((h >> np.uint64(48)).astype(np.uint16) if len(h) <= 1024 else (h >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def _may_link(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
+    """Whether compact sets allow the similarity. Equal numbers have equal bits, so no link is lost."""
+    a, b = (np.frombuffer(c, np.uint16 if n <= 1024 else np.uint32) for c, n in ((x, nx), (y, ny)))
+    if a.dtype != b.dtype:
+        a, b = (c if c.dtype == np.uint16 else (c >> np.uint32(16)).astype(np.uint16) for c in (a, b))
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (nx + ny - both)
+
+
 def _setter(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +144,8 @@ def _setter(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 h, of = textvec.shingles(texts[lo:hi], p.words)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=hi - lo))])
                 sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), sets], names=["id", "items"])
+                compact = pa.array([_compact(h[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), sets, compact], names=["id", "items", "compact"])
 
     return run
 
@@ -138,18 +162,91 @@ def likely_similarity(greater: np.ndarray, smaller: np.ndarray, equal: np.ndarra
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
+def _close(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, p: SketchParams) -> np.ndarray:
+    """Whether the estimated similarity of pairs is not far below the threshold."""
+    least = p.percent / 100 - p.slack
+    out = 100 * np.minimum(na, nb) >= p.percent * np.maximum(na, nb)  # sizes alone bound it
+    equal = (ra == rb).sum(1)
+    # Registers are equal at least as often as the sets are similar: clear cases need no estimate.
+    out &= equal >= (least - p.slack) * p.registers
+    at = np.flatnonzero(out)
+    if len(at):
+        greater = (ra[at] > rb[at]).sum(1)
+        out[at] = likely_similarity(greater, p.registers - equal[at] - greater, equal[at], na[at], nb[at], p.base) >= least
+    return out
+
+
+def _registers(column: pa.Array, p: SketchParams) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, p.registers)
+
+
 def _likely(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of (a, b, na, nb, ra, rb) the pairs (a, b) whose estimate is not far below the threshold."""
+    """Of (a, b, na, nb, ra, rb, pa, pb) the pairs whose estimate is not far below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(a), -1) for i in (4, 5))
-                est = likely_similarity((ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1), na, nb, p.base)
-                keep = est >= p.percent / 100 - p.slack
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+                na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+                mask = pa.array(_close(_registers(batch.column(4), p), _registers(batch.column(5), p), na, nb, p))
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1, 6, 7)], names=["a", "b", "pa", "pb"])
+
+    return run
+
+
+def _in_buckets(p: SketchParams, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different parts that may be linked, within buckets' blocks.
+
+    Rows (key, lo, hi, block, id, part, n, regs, compact) come sorted by (key,
+    lo, hi); a group holds the members of two blocks of a bucket, ``2 *
+    p.block`` or so. Pairs pass the estimate, then the compact sets' upper
+    bound. A pair that shares several bands is given for the first of them
+    only. ``best``: of a member's pairs with one part, only the first.
+    """
+
+    def pairs(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        key, lo, hi, block, ids, part, n, regs, compact = rows
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        group = np.cumsum(new)
+        width = p.rows * p.bands
+        out: list[tuple[int, int]] = []
+        done: set[tuple[int, int]] = set()
+        for d in range(1, int(np.bincount(group).max())):
+            i = np.flatnonzero(group[d:] == group[:-d])
+            i = i[(part[i] != part[i + d]) & ((lo[i] == hi[i]) | (block[i] != block[i + d]))]
+            for s in range(0, len(i), 4096):
+                x, y = i[s : s + 4096], i[s : s + 4096] + d
+                near = _close(regs[x], regs[y], n[x], n[y], p)
+                x, y = x[near], y[near]
+                if not best:
+                    first = (regs[x, :width] == regs[y, :width]).reshape(len(x), p.bands, p.rows).all(2).argmax(1)
+                    own = band_keys(regs[x], p)[np.arange(len(x)), first] == key[x]
+                    x, y = x[own], y[own]
+                for a, b in zip(x.tolist(), y.tolist()):
+                    if best and (int(ids[a]), int(part[b])) in done and (int(ids[b]), int(part[a])) in done:
+                        continue
+                    if _may_link(compact[a], compact[b], int(n[a]), int(n[b]), p.percent):
+                        out.append((a, b))
+                        done |= {(int(ids[a]), int(part[b])), (int(ids[b]), int(part[a]))}
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[x], ids[y], part[x], part[y])], names=["a", "b", "pa", "pb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, ...] | None = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 16384):
+                batch = whole.slice(at, 16384)
+                rows = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)), _registers(batch.column(7), p), np.array(batch.column(8).to_pylist(), object))
+                if kept is not None:
+                    rows = tuple(np.concatenate(x) for x in zip(kept, rows))
+                # The last group may go on in the next batch.
+                last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+                kept = tuple(x[last] for x in rows)
+                if not last.all():
+                    yield pairs(tuple(x[~last] for x in rows))
+        if kept is not None:
+            yield pairs(kept)
 
     return run
 
@@ -157,20 +254,19 @@ def _likely(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def components(scratch: Scratch, edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, label): for every end of ``edges`` (a, b) the smallest id it is connected with.
 
-    Minimum labels spread over the edges with pointer jumping; each round is
-    staged. Labels never go to the driver.
+    Each round a node takes the least label among its own, its neighbours' and
+    its label's; a round is one staged job. Labels never go to the driver.
     """
-    both = scratch.stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = scratch.stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")).withColumn("moved", F.lit(True)), "cc-labels")
+    both = scratch.stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    labels = scratch.stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "cc-labels")
     n = labels.count()
     for _ in range(rounds):
-        known = sized(labels.select(F.col("id").alias("b"), "label"), n)
-        low = both.join(known, "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = scratch.stage(labels.join(low, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), "cc-step")
-        to = sized(step.select(F.col("id").alias("label"), F.col("label").alias("far")), n)
-        after = step.join(to, "label").select("id", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved"))
+        near = both.join(sized(labels.select(F.col("id").alias("b"), "label"), n), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        far = sized(labels.select(F.col("id").alias("label"), F.col("label").alias("far")), n)
+        least = F.least("label", "near", "far")
+        after = labels.join(far, "label").join(near, "id").select("id", least.alias("label"), (least < F.col("label")).alias("moved"))
         after = scratch.stage(after, "cc-labels")
-        scratch.drop([labels, step])
+        scratch.drop([labels])
         labels = after
         if labels.where("moved").isEmpty():
             break
@@ -180,39 +276,63 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 64) -> DataFram
     return labels.select("id", "label")
 
 
+PAIR = "a long, b long, pa long, pb long"
+
+
 class _Verifier:
     """Verifies candidate pairs; keeps the sketches and the candidates' full sets staged."""
 
     def __init__(self, scratch: Scratch, signed: DataFrame, sets: DataFrame, p: SketchParams):
-        self.scratch, self.p, self.sets = scratch, p, sets
+        self.scratch, self.p, self.sets = scratch, p, sets.select("id", "items")
         self.regs = signed.select("id", "n_shingles", "regs")
+        self.compact = sets.select("id", "compact")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct ``pairs`` (a, b) those with the similarity, staged."""
-        p, s = self.p, self.scratch
-        pairs = s.stage(pairs, "near-pairs")
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct ``pairs`` (a, pa, b, pb) those whose sketches say they may be linked."""
         ra = self.regs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
         rb = self.regs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
-        # Sizes alone bound the similarity.
-        fits = (100 * F.least("na", "nb")) >= (p.percent * F.greatest("na", "nb"))
-        seen = pairs.join(ra, "a").join(rb, "b").where(fits).select("a", "b", "na", "nb", "ra", "rb")
-        likely = s.stage(seen.mapInArrow(_likely(p), "a long, b long"), "near-likely")
+        seen = pairs.join(ra, "a").join(rb, "b").select("a", "b", "na", "nb", "ra", "rb", "pa", "pb")
+        return seen.mapInArrow(_likely(self.p), PAIR)
+
+    def between_parts(self, members: DataFrame, best: bool = False) -> DataFrame:
+        """All pairs that share a bucket, lie in different parts and may be linked.
+
+        ``best``: one pair a member and part in each block, which is enough to
+        link most parts; the exact answer takes all.
+        """
+        p = self.p
+        open_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1")
+        blocks = F.ceil(F.col("n") / p.block).cast("int")
+        rows = members.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "part")
+        rows = rows.join(self.regs, "id").join(self.compact, "id")
+        rows = rows.select("key", "lo", "hi", "block", "id", "part", "n_shingles", "regs", "compact")
+        dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        return dealt.mapInArrow(_in_buckets(p, best), PAIR).distinct()
+
+    def links(self, likely: DataFrame) -> DataFrame:
+        """Of pairs (a, b, pa, pb) the linked ones' parts (a, b), staged: verified on the full sets."""
+        p = self.p
+        likely = self.scratch.stage(likely, "near-likely")
         sa = self.sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         sb = self.sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         linked = (100 * both) >= (p.percent * (F.size("x") + F.size("y") - both))
-        out = s.stage(likely.join(sa, "a").join(sb, "b").where(linked).select("a", "b"), "near-links")
-        s.drop([pairs, likely])
+        found = likely.join(sa, "a").join(sb, "b").where(linked).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        out = self.scratch.stage(found, "near-links")
+        self.scratch.drop([likely])
         return out
 
 
-def _relabel(scratch: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, part) with the component of each id; buckets of a single one go."""
-    n = labels.count()
-    now = members.select("key", "id").join(sized(labels.select("id", "label"), n), "id", "left")
-    now = scratch.stage(now.select("key", "id", F.coalesce("label", "id").alias("part")), "near-members")
-    open_ = scratch.stage(now.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("key"), "near-open")
-    return scratch.stage(now.join(sized(open_), "key", "left_semi"), "near-members")
+def _contract(scratch: Scratch, members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, id, part) with linked parts made one."""
+    labels = components(scratch, links)
+    known = sized(labels.select(F.col("id").alias("part"), "label"))
+    now = members.join(known, "part", "left").select("key", "id", F.coalesce("label", "part").alias("part"))
+    out = scratch.stage(now, "near-members")
+    scratch.drop([members])
+    return out
 
 
 def _cross_pairs(members: DataFrame) -> int:
@@ -245,32 +365,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch.stage(exploded.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-buckets")
     members = scratch.stage(exploded.join(sized(buckets), "key", "left_semi").select("key", "id", F.col("id").alias("part")), "near-members")
     candidates = scratch.stage(members.select("id").distinct(), "near-candidates")
-    sets = scratch.stage(keep_ids(own.where("id is not null"), candidates, "id").mapInArrow(_setter(p), "id long, items array<long>"), "near-sets")
+    sets = scratch.stage(keep_ids(own.where("id is not null"), candidates, "id").mapInArrow(_setter(p), "id long, items array<long>, compact binary"), "near-sets")
     verify = _Verifier(scratch, keep_ids(signed, candidates, "id"), sets, p)
 
-    links = labels = None
-    open_members = members
     for r in range(p.star_rounds):
-        if r and _cross_pairs(open_members) <= p.few * open_members.count():
+        if r and _cross_pairs(members) <= p.few * members.count():
             break
         # One centre per bucket, another each round; one comparison per member.
         rank = F.struct(F.xxhash64(F.lit(r), "id") if r else F.lit(0).cast("long"), "id", "part")
-        centres = scratch.stage(open_members.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c").getField("id").alias("centre"), F.col("c").getField("part").alias("centre_part")), "near-centres")
-        pairs = open_members.join(sized(centres), "key").where("part <> centre_part").groupBy("id").agg(F.min("centre").alias("centre"))
-        found = verify.links(pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-        if links is not None and found.isEmpty():
-            continue
-        links = found if links is None else scratch.stage(links.unionByName(found), "near-all-links")
-        labels = components(scratch, links)
-        open_members = _relabel(scratch, members, labels)
-    if not open_members.isEmpty():
-        left = open_members.select("key", F.col("id").alias("a"), F.col("part").alias("pa"))
-        right = open_members.select("key", F.col("id").alias("b"), F.col("part").alias("pb"))
-        rest = left.join(right, "key").where("pa < pb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = verify.links(rest)
+        centres = members.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c").getField("id").alias("b"), F.col("c").getField("part").alias("pb"))
+        pairs = members.join(centres, "key").where("part <> pb").groupBy(F.col("id").alias("a"), F.col("part").alias("pa")).agg(F.min(F.struct("b", "pb")).alias("c"))
+        found = verify.links(verify.likely(pairs.select("a", "pa", "c.b", "c.pb")))
+        if not found.isEmpty():
+            members = _contract(scratch, members, found)
+    for best in (True, False):
+        found = verify.links(verify.between_parts(members, best))
         if not found.isEmpty():
-            links = scratch.stage(links.unionByName(found), "near-all-links")
-            labels = components(scratch, links)
+            members = _contract(scratch, members, found)
+    labels = scratch.stage(members.where("id <> part").select("id", F.col("part").alias("label")).distinct(), "near-labels")
 
     node = copies.select("id", F.col("rep").alias("node"))
     labels = labels.select(F.col("id").alias("node"), "label")

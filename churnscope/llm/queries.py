@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontam, exact_dedup, mixing, secrets, setsketch_dedup, toxicity, url_filter, warc
+from churnscope.llm import decontam, exact_dedup, license_scan, line_templates, mixing, secrets, setsketch_dedup, toxicity, url_filter, warc
 from churnscope.llm.common import shared_path, table
 
 
@@ -57,6 +57,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"),
+        F.array_join("licences", ",").alias("licences"), F.col("n_sentences").cast("long").alias("n_sentences"),
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -69,15 +77,25 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_templates.drop_template_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), "text",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
+    "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_line_templates": op10_line_templates,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,4 +173,69 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
         FROM s JOIN c USING (doc_id)
     """,
+    "op10_line_templates": r"""
+        WITH l AS (
+            SELECT doc_id, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS tk
+            FROM (SELECT doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents)
+        ), t AS (
+            SELECT *, list_transform(tk, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS mk
+            FROM l WHERE len(tk) >= 3
+        ), leaves AS (
+            SELECT len(tk) AS n, mk[1:3] AS lead FROM t GROUP BY ALL HAVING count(*) >= 10
+        ), k AS (
+            SELECT t.*, len(tk) AS n, mk[1:3] AS lead FROM t JOIN leaves ON len(tk) = leaves.n AND mk[1:3] = leaves.lead
+        ), f AS (SELECT n, lead, line, doc_id, unnest(mk) AS token, unnest(range(1, n + 1)) AS pos FROM k),
+        c AS (SELECT n, lead, pos, token FROM f WHERE token <> '<*>' GROUP BY ALL HAVING count(*) >= 10),
+        m AS (
+            SELECT f.line, f.n, count(c.token) AS constants,
+                   string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE f.token END, ' ' ORDER BY f.pos) AS template
+            FROM (SELECT DISTINCT n, lead, line, token, pos FROM f) f LEFT JOIN c USING (n, lead, pos, token)
+            GROUP BY f.line, f.n HAVING 100 * count(c.token) >= 60 * f.n
+        ), often AS (
+            SELECT template FROM l JOIN m USING (line) GROUP BY template HAVING count(DISTINCT doc_id) >= 10
+        ), gone AS (SELECT line FROM m SEMI JOIN often USING (template)),
+        p AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+            FROM documents
+        )
+        SELECT doc_id, count(*) AS n_lines, count(gone.line) AS n_dropped,
+               coalesce(string_agg(CASE WHEN gone.line IS NOT NULL THEN pos::VARCHAR END, ',' ORDER BY pos), '') AS dropped,
+               coalesce(string_agg(CASE WHEN gone.line IS NULL THEN p.line END, chr(10) ORDER BY pos), '') AS text
+        FROM p LEFT JOIN gone USING (line) GROUP BY doc_id
+    """,
 }
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(form)}, {quoted(k)}, {i})" for i, (k, forms) in enumerate(license_scan.SENTENCES.items()) for form in forms)
+    number = {k: i for i, k in enumerate(license_scan.SENTENCES)}
+    rules = ", ".join(
+        f"({i}, {quoted(r.licence)}, {quoted(license_scan.rule_pattern(r, number, 2))})" for i, r in enumerate(license_scan.RULES)
+    )
+    return rf"""
+        WITH s AS (
+            SELECT doc_id, list_filter(list_transform(
+                regexp_split_to_array(coalesce(text, ''), '[\n\r]+|[.!?;]+[\x20\x09]+|[.!?;]+\z'),
+                lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '^(c )?copyright .*$', 'copyright holder')
+            ), lambda x: x <> '') AS sentences
+            FROM documents
+        ), n AS (SELECT doc_id, unnest(sentences) AS sentence, unnest(range(len(sentences))) AS position FROM s),
+        known(sentence, id, number) AS (VALUES {known}),
+        rules(place, licence, pattern) AS (VALUES {rules}),
+        g AS (
+            SELECT doc_id, string_agg(id, ',' ORDER BY position) AS ids,
+                   string_agg(CASE WHEN id IS NOT NULL THEN position::VARCHAR END, ',' ORDER BY position) AS positions,
+                   string_agg('<' || coalesce(number::VARCHAR, '-') || '>', '' ORDER BY position) AS trail, count(*) AS n
+            FROM n LEFT JOIN known USING (sentence) GROUP BY doc_id
+        ), m AS (
+            SELECT doc_id, licence, min(place) AS place FROM g JOIN rules ON regexp_matches(trail, pattern) GROUP BY ALL
+        ), ls AS (SELECT doc_id, string_agg(licence, ',' ORDER BY place) AS licences FROM m GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(g.ids, '') AS sentence_ids, coalesce(g.positions, '') AS positions,
+               coalesce(ls.licences, '') AS licences, coalesce(g.n, 0) AS n_sentences
+        FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN ls USING (doc_id)
+    """
+
+
+ORACLE_SQL["op6_license_scan"] = _license_sql()

@@ -62,7 +62,7 @@ class SketchParams:
     slack: float = 0.1
     star_rounds: int = 2
     few: int = 3
-    block: int = 256
+    block: int = 1024
 
     @property
     def registers(self) -> int:

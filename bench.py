@@ -23,7 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from churnscope.catalog import QUERIES  # noqa: E402
 from churnscope.plans import cohort, report  # noqa: E402
-from churnscope.plans.staging import checkpoint_root, ensure_checkpoint_dir  # noqa: E402
+from churnscope.plans.staging import checkpoint_root, ensure_checkpoint_dir, staged_files  # noqa: E402
 from churnscope.session import build_session  # noqa: E402
 from churnscope.sources.tables import table_reader  # noqa: E402
 
@@ -35,8 +35,9 @@ def _run(df) -> None:
 def _report(spark, sf_dir: str) -> None:
     """All five metrics through the staged per-person fact table."""
     inputs = cohort.CohortInputs.from_tables(table_reader(spark, sf_dir))
-    for df in report.cohort_report(inputs, staged=True).values():
-        _run(df)
+    with staged_files():
+        for df in report.cohort_report(inputs, staged=True).values():
+            _run(df)
 
 
 def main() -> None:

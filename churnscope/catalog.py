@@ -15,6 +15,7 @@ from churnscope.functions.text import normalize_text
 from churnscope.operators import audit, cleaning
 from churnscope.plans import cohort
 from churnscope.plans.cohort import CohortInputs
+from churnscope.sources import bindings
 from churnscope.sources.tables import table_reader
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,10 @@ def audit_distinct_units(spark, root):
     return audit.distinct_values(_inputs(spark, root).people, "unit_id")
 
 
+def audit_distinct_counts(spark, root):
+    return audit.distinct_values(_inputs(spark, root).people, "unit_id", counts=True)
+
+
 def audit_distinct_ratings(spark, root):
     return audit.distinct_values(_inputs(spark, root).people, "rating")
 
@@ -72,6 +77,12 @@ def audit_missing_match(spark, root):
     )
 
 
+def audit_missing_rows(spark, root):
+    i = _inputs(spark, root)
+    missing = audit.missing_matches(i.people, i.exits, "person_id", where=F.col("status") == cohort.TERMINATED)
+    return missing.select("person_id", "person_name", "status")
+
+
 def audit_unlabeled_documents(spark, root):
     t = table_reader(spark, root)
     return audit.missing_match_count(t("documents"), t("labels"), "doc_id")
@@ -86,7 +97,8 @@ def audit_duplicate_lineitems(spark, root):
 
 
 def audit_null_keys(spark, root):
-    return audit.null_key_rows(_inputs(spark, root).people, "person_id")
+    people = bindings.people(table_reader(spark, root), null_keys_only=True)
+    return audit.null_key_rows(people, "person_id")
 
 
 def audit_fd_violations(spark, root):
@@ -104,6 +116,15 @@ def audit_fd_violations_part(spark, root):
     )
 
 
+def audit_fd_violations_dim(spark, root):
+    """Part brand -> size, only sizes that are also a nation's key: a non-empty answer through a dimension."""
+    t = table_reader(spark, root)
+    return audit.fd_violations(
+        t("part"), "p_brand", "p_size", t("nation"), "n_nationkey",
+        determinant_name="brand", count="size_count",
+    )
+
+
 # ------------------------------------------------------------------ cleaning
 
 
@@ -120,6 +141,15 @@ def clean_impute_key(spark, root):
     ).select("person_id", "unit_id", "clean_unit_id")
 
 
+def clean_impute_key_valid_only(spark, root):
+    """Every key outside the dimension is bad; here those are the 99s, not listed as a sentinel."""
+    i = _inputs(spark, root)
+    return cleaning.impute_key_by_fd(
+        cohort.dedup_people(i.people), "unit_id", "role_raw", i.units,
+        source=i.people, valid_only=True, output="clean_unit_id", salt_by="person_id",
+    ).select("person_id", "unit_id", "clean_unit_id")
+
+
 def clean_normalize_text(spark, root):
     return _inputs(spark, root).people.select(
         "person_id", "role_raw", normalize_text("role_raw").alias("clean_role")
@@ -184,17 +214,21 @@ QUERIES: dict[str, QueryFn] = {
         audit_distinct_values,
         audit_distinct_units,
         audit_distinct_ratings,
+        audit_distinct_counts,
         audit_orphan_keys,
         audit_invalid_measure,
         audit_missing_match,
+        audit_missing_rows,
         audit_unlabeled_documents,
         audit_duplicate_groups,
         audit_duplicate_lineitems,
         audit_null_keys,
         audit_fd_violations,
         audit_fd_violations_part,
+        audit_fd_violations_dim,
         clean_dedup,
         clean_impute_key,
+        clean_impute_key_valid_only,
         clean_normalize_text,
         clean_entities,
         clean_distinct_values,

@@ -1,19 +1,11 @@
-from churnscope.functions.numeric import (
-    METRIC_TYPE,
-    day_number,
-    elapsed_days,
-    percent,
-    round_half_up,
-    rounded_percent,
-)
-from churnscope.functions.text import normalize_text
+from churnscope.functions.numeric import day_number, rounded_fraction, rounded_percent, whole_units
+from churnscope.functions.text import normalize_text, text_key
 
 __all__ = [
-    "METRIC_TYPE",
     "day_number",
-    "elapsed_days",
     "normalize_text",
-    "percent",
-    "round_half_up",
+    "rounded_fraction",
     "rounded_percent",
+    "text_key",
+    "whole_units",
 ]

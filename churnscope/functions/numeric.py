@@ -6,50 +6,58 @@ codegen and behave the same on every executor.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnscope.functions._cols import as_col
 
-# Rounding goes through this exact decimal type. Doubles such as 10.015 are
-# not exactly representable; casting them to 8 decimals first lands on the
-# intended tie, which then rounds half away from zero (Spark's HALF_UP on
-# decimals). The SQL oracle uses the same cast, so both engines agree.
-ROUNDING_TYPE = "decimal(20,8)"
-# Final type of every rounded metric column, identical in Spark and the oracle.
-METRIC_TYPE = "decimal(18,2)"
-
+_WHOLE = "decimal(38,0)"
+# Binary floating point has no exact hundredths; such measures count in units of 1e-8.
+_FLOAT_SCALE = 8
 
-def round_half_up(col: Column | str, digits: int = 2) -> Column:
-    """ROUND(x, digits) with ties away from zero, independent of the input type."""
-    return F.round(as_col(col).cast(ROUNDING_TYPE), digits).cast(
-        f"decimal(18,{digits})"
-    )
 
+def rounded_fraction(numerator: Column | str, denominator: Column | str, digits: int = 2) -> Column:
+    """ROUND(numerator / denominator, digits) of two whole numbers, ties away from zero.
 
-def percent(hits: Column | str, total: Column | str) -> Column:
-    """hits / total * 100 as a double; NULL (not an error) when total is 0."""
-    return F.try_divide(as_col(hits), as_col(total)) * F.lit(100)
+    Integer arithmetic throughout, so the result is that of the exact quotient
+    whatever the group's size: dividing in floating point, or rounding twice,
+    would lift quotients just under a tie. NULL for a denominator of 0. A
+    value past 38 digits fails (ANSI) instead of being wrong.
+    """
+    n = as_col(numerator).cast(_WHOLE)
+    d = F.nullif(as_col(denominator).cast(_WHOLE), F.lit(0).cast(_WHOLE))
+    # Half up on magnitudes: floor((2 |n| 10^digits + |d|) / (2 |d|)).
+    units = F.call_function("div", F.abs(n) * F.lit(2 * 10**digits) + F.abs(d), F.abs(d) * F.lit(2))
+    signed = F.when((n < 0) != (d < 0), -units).otherwise(units)
+    return (signed.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(18,{digits})")
 
 
 def rounded_percent(hits: Column | str, total: Column | str, digits: int = 2) -> Column:
-    return round_half_up(percent(hits, total), digits)
+    """hits / total * 100, rounded exactly; NULL (not an error) when total is 0."""
+    return rounded_fraction(as_col(hits).cast(_WHOLE) * F.lit(100), total, digits)
 
 
-def elapsed_days(end: Column | str, start: Column | str) -> Column:
-    """Whole calendar days from start to end (MySQL DATEDIFF semantics).
-
-    ``F.datediff`` drops the time of day first, so 23:00 -> 01:00 is one day.
-    ``date_diff(day, ...)`` would count elapsed 24h periods instead.
-    """
-    return F.datediff(as_col(end), as_col(start))
+def whole_units(col: Column | str, data_type: T.DataType) -> tuple[Column, int]:
+    """A numeric column as whole units and the number of units in 1: cents and 100 for decimal(p, 2)."""
+    c = as_col(col)
+    if isinstance(data_type, T.DecimalType):
+        scale = data_type.scale
+    elif isinstance(data_type, (T.FloatType, T.DoubleType)):
+        scale, c = _FLOAT_SCALE, c.cast(f"decimal(30,{_FLOAT_SCALE})")
+    else:
+        scale = 0
+    # Widths that leave sums ten more digits.
+    return (c.cast(f"decimal({28 - 8 + scale},{scale})") * F.lit(10**scale)).cast("decimal(28,0)"), 10**scale
 
 
 def day_number(col: Column | str) -> Column:
     """Calendar day of a date or timestamp as days since 1970-01-01.
 
-    ``day_number(end) - day_number(start)`` equals ``elapsed_days(end, start)``,
-    and sums of day numbers are exact integers, so spans can be summed per
-    entity before a join.
+    The time of day is dropped first, so 23:00 to 01:00 is one day (MySQL
+    DATEDIFF semantics), and sums of day numbers are exact integers, so spans
+    can be summed per entity before a join.
     """
     return F.unix_date(F.to_date(as_col(col)))

@@ -25,8 +25,3 @@ def row_hash(df: DataFrame, by: str | Sequence[str] | None = None) -> Column:
     )
     return F.xxhash64(*[F.col(c) for c in cols])
 
-
-def row_salt(df: DataFrame, salts: int | Column, by: str | Sequence[str] | None = None) -> Column:
-    """``pmod(row_hash, salts)`` as int, in ``[0, salts)``; ``salts`` may be a per-row column."""
-    n = salts if isinstance(salts, Column) else F.lit(salts)
-    return F.pmod(row_hash(df, by), n).cast("int")

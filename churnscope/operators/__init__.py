@@ -18,10 +18,9 @@ from churnscope.operators.metrics import (
     rate_by_group,
     split_rate_by_group,
 )
-from churnscope.operators.quality import Check, quality_report
+from churnscope.operators.quality import quality_report
 
 __all__ = [
-    "Check",
     "dedup_keep_first",
     "distinct_values",
     "duplicate_groups",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions._cols import as_col, as_list
-from churnscope.functions.text import normalize_text
+from churnscope.functions.text import BINARY, normalize_text, text_key
 
 
 def row_counts(
@@ -130,10 +130,14 @@ def missing_match_count(
     return missing.agg(F.coalesce(F.sum("__n"), F.lit(0).cast("long")).alias(name))
 
 
-def duplicate_groups(df: DataFrame, keys: str | Sequence[str], name: str = "occurrences") -> DataFrame:
-    """Natural-key groups with more than one row (W7); NULL key parts compare equal."""
+def duplicate_groups(
+    df: DataFrame, keys: str | Sequence[str], name: str = "occurrences", collation: str = BINARY
+) -> DataFrame:
+    """Natural-key groups with more than one row (W7); NULL key parts compare equal.
+
+    Under a case-folding ``collation`` a group shows its keys in lower case."""
     return (
-        df.groupBy(*as_list(keys))
+        df.groupBy(*[text_key(df, k, collation).alias(k) for k in as_list(keys)])
         .agg(F.count(F.lit(1)).alias(name))
         .where(F.col(name) > 1)
     )
@@ -163,17 +167,17 @@ def fd_violations(
     duplicated dimension key cannot fan out). Empty result: the dependency
     holds and imputation through it is safe.
 
-    ``count_distinct`` is planned as two partial aggregations; the first
-    collapses repeated (determinant, dependent) pairs map-side.
+    The pairs are made distinct before they meet the dimension, so a dependent
+    that most rows share is one row a determinant there.
     """
     det_name = determinant_name or determinant
     det = normalize_text(determinant) if normalize else F.col(determinant)
-    pairs = df.select(det.alias(det_name), F.col(dependent).alias("__dep"))
+    pairs = df.select(det.alias(det_name), F.col(dependent).alias("__dep")).distinct()
     if dim is not None:
         keys = dim.select(F.col(dim_key or dependent).alias("__dk"))
         pairs = pairs.join(keys, pairs["__dep"] == keys["__dk"], "left_semi")
     return (
         pairs.groupBy(det_name)
-        .agg(F.count_distinct("__dep").alias(count))
+        .agg(F.count("__dep").alias(count))
         .where(F.col(count) > 1)
     )

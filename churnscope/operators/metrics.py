@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions._cols import as_col, as_list
-from churnscope.functions.numeric import day_number, round_half_up, rounded_percent
+from churnscope.functions.numeric import day_number, rounded_fraction, rounded_percent, whole_units
 
 
 def _population(
@@ -25,8 +25,9 @@ def _population(
     where: Column | None,
 ) -> DataFrame:
     """Optional filter, then the optional dimension join (``dim_on`` = (population
-    column, dimension column)). An inner join drops keys missing from the
-    dimension; ``dim_how='left_semi'`` uses the dimension only as a filter."""
+    column, dimension column), which may have the same name: the result then
+    has it once). An inner join drops keys missing from the dimension;
+    ``dim_how='left_semi'`` uses the dimension only as a filter."""
     if where is not None:
         population = population.where(where)
     if dim is None:
@@ -34,6 +35,8 @@ def _population(
     fk, pk = dim_on if dim_on is not None else (None, None)
     if fk is None:
         raise ValueError("dim_on=(population_column, dimension_column) is required with dim")
+    if fk == pk:
+        return population.join(dim, fk, dim_how)
     return population.join(dim, population[fk] == dim[pk], dim_how)
 
 
@@ -72,13 +75,21 @@ def rate_by_group(
     total * 100, digits) with ties away from zero and NULL instead of a
     division error.
     """
-    keys = as_list(by)
     population = _population(population, dim, dim_on, dim_how, where)
     hit = _hit_keys(events, event_on or on)
     joined = population.join(hit, population[on] == hit["__hit"], "left")
+    return rate_of(joined, by, F.col("__hit").isNotNull(), entity=on, total=total, hits=hits, rate=rate, digits=digits)
+
+
+def rate_of(
+    df: DataFrame, by: str | Sequence[str], hit: Column, *, entity: str | None = None,
+    total: str = "total", hits: str = "hits", rate: str = "rate", digits: int = 2,
+) -> DataFrame:
+    """Rate of rows where ``hit`` holds, per group, from one row per entity."""
+    counted = F.count(entity) if entity else F.count(F.lit(1))
     return (
-        joined.groupBy(*keys)
-        .agg(F.count(population[on]).alias(total), F.count("__hit").alias(hits))
+        df.groupBy(*as_list(by))
+        .agg(counted.alias(total), F.count_if(hit).alias(hits))
         .withColumn(rate, rounded_percent(hits, total, digits))
     )
 
@@ -109,13 +120,8 @@ def split_rate_by_group(
 
     One pass over the population: events are reduced to one row per entity
     holding the sorted set of its event types (bounded by the number of
-    types), the population left-joins it one to one, ``posexplode_outer``
-    gives a row per (entity, type), and a single aggregation with grouping
-    sets counts entities per (group, type) and per group (each entity's
-    first row); a window over those few rows per group attaches the group
-    total to each type.
+    types), which the population left-joins one to one; see ``split_rate_of``.
     """
-    keys = as_list(by)
     population = _population(population, dim, dim_on, dim_how, where)
     key = event_on or on
     types = (
@@ -124,23 +130,29 @@ def split_rate_by_group(
         .agg(F.array_sort(F.collect_set(split)).alias("__types"))
     )
     joined = population.join(types, population[on] == types["__hit"], "left")
-    rows = joined.select(
-        *keys, population[on].alias("__id"), F.posexplode_outer("__types").alias("__pos", "__type")
-    )
+    return split_rate_of(joined, by, "__types", split, entity=on, total=total, hits=hits, rate=rate, digits=digits)
+
+
+def split_rate_of(
+    df: DataFrame, by: str | Sequence[str], types: str, split: str, *, entity: str | None = None,
+    total: str = "total", hits: str = "hits", rate: str = "rate", digits: int = 2,
+) -> DataFrame:
+    """Rate of each type in the array column ``types`` per group, from one row per entity.
+
+    ``posexplode_outer`` gives a row per (entity, type); one aggregation by
+    (group, type) counts entities and first rows, and a window over those few
+    rows per group sums the first rows to the group's total.
+    """
+    keys = as_list(by)
+    here = F.col(entity).isNotNull() if entity else F.lit(True)
+    rows = df.select(*keys, here.alias("__here"), F.posexplode_outer(types).alias("__pos", "__type"))
     first_row = (F.col("__pos") == 0) | F.col("__pos").isNull()
-    counted = rows.groupingSets([[*keys, "__type"], keys], *keys, "__type").agg(
-        F.count(F.when(F.col("__type").isNotNull(), F.col("__id"))).alias("__hits"),
-        F.count(F.when(first_row, F.col("__id"))).alias("__total"),
-        F.grouping("__type").alias("__level"),
-    )
-    # The group's total sits on its grouping-set row; a window over the
-    # aggregated rows (a few per group) hands it to the per-type rows.
-    group_total = F.max(F.when(F.col("__level") == 1, F.col("__total"))).over(
-        Window.partitionBy(*keys)
+    counted = rows.groupBy(*keys, "__type").agg(
+        F.count_if("__here").alias("__hits"), F.count_if(F.col("__here") & first_row).alias("__first")
     )
     return (
-        counted.withColumn(total, group_total)
-        .where((F.col("__level") == 0) & F.col("__type").isNotNull())
+        counted.withColumn(total, F.sum("__first").over(Window.partitionBy(*keys)))
+        .where(F.col("__type").isNotNull())
         .select(
             *keys,
             total,
@@ -176,21 +188,25 @@ def group_gap(
     digits: int = 2,
 ) -> DataFrame:
     """Per group: mean measure where flag = a, where flag = b, and their
-    difference (W18). The gap is taken from the unrounded means; each output
-    is then rounded. A side with no rows gives NULL mean and NULL gap. One
-    pass, no pivot."""
+    difference (W18). The gap is that of the exact means; each output is
+    rounded once, from exact sums in whole units (cents). A side with no rows
+    gives NULL mean and NULL gap. One pass, no pivot."""
     keys = as_list(by)
-    m = F.col(measure)
+    units, per_one = whole_units(measure, df.schema[measure].dataType)
+    sides = {s: F.when(F.col(flag) == F.lit(v), units) for s, v in (("a", a), ("b", b))}
     agg = df.groupBy(*keys).agg(
-        F.avg(F.when(F.col(flag) == F.lit(a), m)).alias("__a"),
-        F.avg(F.when(F.col(flag) == F.lit(b), m)).alias("__b"),
+        *[F.sum(m).cast("decimal(38,0)").alias(f"__s{s}") for s, m in sides.items()],
+        *[F.count(m).alias(f"__n{s}") for s, m in sides.items()],
     )
     n_a, n_b, n_gap = names
+    c = {k: F.col(k).cast("decimal(38,0)") for k in ("__sa", "__sb", "__na", "__nb")}
+    one = F.lit(per_one)
     return agg.select(
         *keys,
-        round_half_up("__a", digits).alias(n_a),
-        round_half_up("__b", digits).alias(n_b),
-        round_half_up(F.col("__a") - F.col("__b"), digits).alias(n_gap),
+        rounded_fraction(c["__sa"], c["__na"] * one, digits).alias(n_a),
+        rounded_fraction(c["__sb"], c["__nb"] * one, digits).alias(n_b),
+        # Sa / na - Sb / nb as one fraction.
+        rounded_fraction(c["__sa"] * c["__nb"] - c["__sb"] * c["__na"], c["__na"] * c["__nb"] * one, digits).alias(n_gap),
     )
 
 
@@ -222,7 +238,6 @@ def mean_elapsed_by_group(
     events is one row after the map-side partial aggregation) and the mean
     is sum(days) / (count * unit_days) with a single division.
     """
-    keys = as_list(by)
     population = _population(population, dim, dim_on, dim_how, where)
     end_day = day_number(end)
     # Undated events still make the entity join (as in a plain inner join)
@@ -234,11 +249,14 @@ def mean_elapsed_by_group(
     start_day = day_number(start)
     days = F.col("__end_sum") - F.col("__k") * start_day
     spans = F.when(start_day.isNotNull(), F.col("__k"))
-    return (
-        joined.groupBy(*keys)
-        .agg(F.sum(days).alias("__s"), F.sum(spans).alias("__n"))
-        .select(
-            *keys,
-            round_half_up(F.try_divide(F.col("__s"), F.col("__n") * F.lit(unit_days)), digits).alias(name),
-        )
-    )
+    return mean_elapsed_of(joined, by, days, spans, unit_days=unit_days, name=name, digits=digits)
+
+
+def mean_elapsed_of(
+    df: DataFrame, by: str | Sequence[str], days: Column, spans: Column, *,
+    unit_days: int = 365, name: str = "mean_years", digits: int = 2,
+) -> DataFrame:
+    """sum(days) / (sum(spans) * unit_days) per group, rounded exactly."""
+    keys = as_list(by)
+    agg = df.groupBy(*keys).agg(F.sum(days).alias("__s"), F.sum(spans).alias("__n"))
+    return agg.select(*keys, rounded_fraction("__s", F.col("__n") * F.lit(unit_days), digits).alias(name))

@@ -2,54 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Side = Sequence[tuple[DataFrame, Mapping[str, Column]]]
 
-@dataclass(frozen=True)
-class Check:
-    """One line of the report.
 
-    ``actual`` and ``expected`` are aggregate expressions evaluated over the
-    DataFrame the check is attached to (``expected`` may also be an int, or
-    None for a purely informational line).
-    """
-
-    name: str
-    actual: Column
-    expected: Column | int | None = None
+def _counted(side: Side, name: str) -> list[DataFrame]:
+    """(check_name, value) rows; all counts over one DataFrame share its aggregation pass."""
+    parts = []
+    for df, checks in side:
+        row = df.agg(*[c.cast("long").alias(f"c{i}") for i, c in enumerate(checks.values())])
+        pairs = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}").alias(name)) for i, k in enumerate(checks)])
+        parts.append(row.select(F.inline(pairs)))
+    return parts
 
 
-def quality_report(passes: Sequence[tuple[DataFrame, Sequence[Check]]]) -> DataFrame:
+def quality_report(actual: Side, expected: Side = (), given: Mapping[str, int] | None = None) -> DataFrame:
     """(check_name, actual, expected, passed) rows.
 
-    All checks on one DataFrame are computed in a single aggregation pass
-    over it; ``passed`` is NULL when nothing is expected.
+    ``actual`` counts the tables under test, ``expected`` counts what they must
+    equal, from other tables; ``given`` states expected counts outright and
+    wins. A check without an expected count has NULL there and in ``passed``.
     """
-    parts = []
-    for df, checks in passes:
-        aggs = []
-        for i, c in enumerate(checks):
-            exp = c.expected
-            if exp is None:
-                exp = F.lit(None)
-            elif isinstance(exp, int):
-                exp = F.lit(exp)
-            aggs += [c.actual.cast("long").alias(f"a{i}"), exp.cast("long").alias(f"e{i}")]
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(c.name).alias("check_name"),
-                    F.col(f"a{i}").alias("actual"),
-                    F.col(f"e{i}").alias("expected"),
-                )
-                for i, c in enumerate(checks)
-            ]
-        )
-        parts.append(df.agg(*aggs).select(F.inline(rows)))
-    out = reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, _counted(actual, "actual")).withColumn("expected", F.lit(None).cast("long"))
+    for part in _counted(expected, "expected"):
+        found = found.unionByName(part.withColumn("actual", F.lit(None).cast("long")))
+    # A row or two per check come together.
+    out = found.groupBy("check_name").agg(F.max("actual").alias("actual"), F.max("expected").alias("expected"))
+    for name, count in (given or {}).items():
+        out = out.withColumn("expected", F.when(F.col("check_name") == name, F.lit(count).cast("long")).otherwise(F.col("expected")))
     return out.withColumn("passed", F.col("actual") == F.col("expected"))

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.functions.text import normalize_text
-from churnscope.operators import audit, cleaning, metrics
-from churnscope.operators.quality import Check, quality_report
+from churnscope.functions.text import BINARY, normalize_text, text_key
+from churnscope.operators import cleaning, metrics
+from churnscope.operators.quality import quality_report
 from churnscope.sources import bindings
 from churnscope.sources.tables import TableReader
 
@@ -72,9 +72,9 @@ class CohortInputs:
 # ---------------------------------------------------------------- cleaning
 
 
-def dedup_people(people: DataFrame, natural_key=NATURAL_KEY) -> DataFrame:
+def dedup_people(people: DataFrame, natural_key=NATURAL_KEY, collation: str = BINARY) -> DataFrame:
     """Drop the NULL-id row, then keep the lowest id per natural key."""
-    return cleaning.dedup_keep_first(people, natural_key, ["person_id"], require="person_id")
+    return cleaning.dedup_keep_first(people, natural_key, ["person_id"], require="person_id", collation=collation)
 
 
 def clean_people(
@@ -84,6 +84,7 @@ def clean_people(
     valid_only: bool = False,
     natural_key=NATURAL_KEY,
     rows_per_salt: int = 1_000_000,
+    collation: str = BINARY,
 ) -> DataFrame:
     """Deduplicated people with a normalised role and a recovered unit key.
 
@@ -91,7 +92,7 @@ def clean_people(
     duplicates still tell which unit a role belongs to). Columns other than
     the roles' (names, gender, age, ...) are carried through.
     """
-    deduped = dedup_people(people, natural_key)
+    deduped = dedup_people(people, natural_key, collation)
     imputed = cleaning.impute_key_by_fd(
         deduped,
         key="unit_id",
@@ -202,39 +203,35 @@ def quality(
     people: DataFrame,
     clean: DataFrame,
     measures: DataFrame,
+    clean_measure_rows: DataFrame | None = None,
     sentinels=SENTINEL_UNITS,
     natural_key=NATURAL_KEY,
+    collation: str = BINARY,
+    given: dict[str, int] | None = None,
 ) -> DataFrame:
-    """The verification block after cleaning, one scan per table."""
-    amount = F.col("amount")
-    unit = F.col("clean_unit_id")
-    one = F.lit(1)
+    """The verification block after cleaning, one scan per table.
+
+    The cleaned tables are counted (``clean``, ``clean_measure_rows``, by
+    default this module's ``clean_measures``) and held against what the raw
+    tables say: one person per natural key of the rows with an id, and the
+    measures that are present and positive. ``given``: counts known beforehand.
+    """
+    amount, unit, one = F.col("amount"), F.col("clean_unit_id"), F.lit(1)
+    if clean_measure_rows is None:
+        clean_measure_rows = clean_measures(measures)
+    key = F.struct(*[text_key(people, k, collation).alias(k) for k in natural_key])
+    raw_people = {"raw_people": F.count(one)}
+    bad = F.count_if(amount.isNull() | (amount <= 0))
     return quality_report(
-        [
-            (people, [Check("raw_people", F.count(one))]),
-            (
-                clean,
-                [
-                    # No duplicate person may remain: one row per natural key.
-                    Check("clean_people", F.count(one), F.count_distinct(F.struct(*natural_key))),
-                    Check("remaining_bad_units", F.count_if(unit.isNull() | unit.isin(*sentinels)), 0),
-                ],
-            ),
-            (
-                measures,
-                [
-                    Check("raw_measures", F.count(one)),
-                    # Clean + removed = raw.
-                    Check(
-                        "clean_measures",
-                        F.count_if(amount > 0),
-                        F.count(one) - F.count_if(amount.isNull() | (amount <= 0)),
-                    ),
-                ],
-            ),
-        ]
+        actual=[
+            (people, raw_people),
+            (clean, {"clean_people": F.count(one), "remaining_bad_units": F.count_if(unit.isNull() | unit.isin(*sentinels))}),
+            (measures, {"raw_measures": F.count(one)}),
+            (clean_measure_rows, {"clean_measures": F.count(one)}),
+        ],
+        expected=[
+            (people, {"clean_people": F.count_distinct(F.when(F.col("person_id").isNotNull(), key)), "remaining_bad_units": F.lit(0) * F.count(one)}),
+            (measures, {"clean_measures": F.count(one) - bad}),
+        ],
+        given=given,
     )
-
-
-def audit_orphan_units(people: DataFrame, units: DataFrame) -> DataFrame:
-    return audit.orphan_keys(people, units, "unit_id")

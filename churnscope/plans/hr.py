@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnscope.functions.text import BINARY, text_key
 from churnscope.operators import audit
-from churnscope.plans import cohort
+from churnscope.plans import cohort, report, staging
 from churnscope.sources import hr
 
 
@@ -31,12 +32,9 @@ def _rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
 
 
-def employees_clean(i: cohort.CohortInputs) -> DataFrame:
+def employees_clean(i: cohort.CohortInputs, collation: str = BINARY) -> DataFrame:
     """The ``employees_clean`` view."""
-    clean = cohort.clean_people(i.people, i.units, natural_key=hr.NATURAL_KEY)
-    back = {v: k for k, v in hr.ROLE_NAMES["employees"].items()}
-    back.update(clean_role="clean_job_role", clean_unit_id="clean_department_id")
-    return _rename(clean, back)
+    return _clean_names(cohort.clean_people(i.people, i.units, natural_key=hr.NATURAL_KEY, collation=collation))
 
 
 def salary_clean(i: cohort.CohortInputs) -> DataFrame:
@@ -45,12 +43,52 @@ def salary_clean(i: cohort.CohortInputs) -> DataFrame:
     return _rename(cohort.clean_measures(i.measures), back)
 
 
-def hr_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def _clean_names(clean: DataFrame) -> DataFrame:
+    back = {v: k for k, v in hr.ROLE_NAMES["employees"].items()}
+    back.update(clean_role="clean_job_role", clean_unit_id="clean_department_id")
+    return _rename(clean, back)
+
+
+def _with_status(clean: DataFrame, collation: str) -> DataFrame:
+    """Statuses in their listed spelling, so that flags compare as ``collation`` says."""
+    if collation == BINARY:
+        return clean
+    status = F.lower("status")
+    listed = [F.when(status == s.lower(), s) for s in (cohort.ACTIVE, cohort.TERMINATED)]
+    return clean.withColumn("status", F.coalesce(*listed, F.col("status")))
+
+
+def create_views(tables: dict[str, DataFrame], collation: str = BINARY) -> None:
+    """The tables and the two cleaned views under their original names, for ``spark.sql``."""
+    i = hr_inputs(tables)
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    employees_clean(i, collation).createOrReplaceTempView("employees_clean")
+    salary_clean(i).createOrReplaceTempView("salary_clean")
+
+
+def hr_report(
+    tables: dict[str, DataFrame], staged: bool = False, collation: str = BINARY, given: dict[str, int] | None = None
+) -> dict[str, DataFrame]:
+    """Every result by name. With ``staged`` the cleaned people and one row of facts
+    per person are written once to the checkpoint folder and all later results
+    read them; ``staging.staged_files`` deletes them when the results are written.
+
+    ``collation``: whether names and flags that differ only in case are equal
+    (MySQL's usual default) or not. ``given``: expected counts by verification
+    label.
+    """
     i = hr_inputs(tables)
     emp, dept = tables["employees"], tables["departments"]
     sal, att = tables["salary_history"], tables["attrition"]
-    clean = cohort.clean_people(i.people, i.units, natural_key=hr.NATURAL_KEY)
-    clean_view = employees_clean(i)
+    # Binary: compared as they are.
+    flag = lambda df, c, v: text_key(df, c, collation) == F.lit(v if collation == BINARY else v.lower())
+    clean = cohort.clean_people(i.people, i.units, natural_key=hr.NATURAL_KEY, collation=collation)
+    keep = staging.stage if staged else (lambda df, name: df)
+    clean = keep(clean, "employees_clean")
+    facts = keep(report.person_facts(_with_status(clean, collation), i.units, i.exits, i.measures), "hr_facts")
+    metric = report.metrics_from_facts(facts)
+    clean_view = _clean_names(clean)
 
     # Output column names and verification labels of the original queries.
     rate_names = {"unit_name": "department_name", "total": "total_employees",
@@ -71,10 +109,12 @@ def hr_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "orphan_department_ids": audit.orphan_keys(emp, dept, "department_id"),
         "bad_salary_rows": audit.invalid_measure_count(sal, "salary_amount", "bad_salary_rows"),
         "terminated_missing_from_attrition": audit.missing_match_count(
-            emp, att, "employee_id", where=F.col("employment_status") == cohort.TERMINATED,
+            emp, att, "employee_id", where=flag(emp, "employment_status", cohort.TERMINATED),
             name="terminated_missing_from_attrition",
         ),
-        "duplicate_employees": audit.duplicate_groups(emp, ["first_name", "last_name", "hire_date"]),
+        "duplicate_employees": audit.duplicate_groups(
+            emp, ["first_name", "last_name", "hire_date"], collation=collation
+        ),
         "null_id_rows": audit.null_key_rows(emp, "employee_id"),
         "role_department_violations": audit.fd_violations(
             emp, "job_role", "department_id", dept,
@@ -84,25 +124,23 @@ def hr_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "employees_clean": clean_view,
         "salary_clean": salary_clean(i),
         "verification": cohort.quality(
-            i.people, clean, i.measures, natural_key=hr.NATURAL_KEY
+            i.people, clean, i.measures, natural_key=hr.NATURAL_KEY, collation=collation,
+            given={k: (given or {})[v] for k, v in check_names.items() if v in (given or {})},
         ).replace(check_names, subset=["check_name"]),
         "distinct_clean_job_roles": audit.distinct_values(clean_view, "clean_job_role"),
         # --- the five questions
-        "attrition_by_department": _rename(cohort.attrition_by_unit(clean, i.units, i.exits), rate_names),
-        "attrition_by_department_and_type": _rename(
-            cohort.attrition_by_unit_and_type(clean, i.units, i.exits), rate_names
-        ),
+        "attrition_by_department": _rename(metric["rate_by_group"], rate_names),
+        "attrition_by_department_and_type": _rename(metric["split_rate_by_group"], rate_names),
         "attrition_by_performance": _rename(
-            cohort.attrition_by_rating(clean, i.units, i.exits),
-            dict(rate_names, rating="performance_rating"),
+            metric["rate_by_rating"], dict(rate_names, rating="performance_rating")
         ),
         "salary_gap_by_role": _rename(
-            cohort.measure_gap_by_role(clean, i.measures),
+            metric["salary_gap"],
             {"clean_role": "clean_job_role", "avg_stayers": "avg_salary_stayers",
              "avg_leavers": "avg_salary_leavers", "gap": "salary_gap"},
         ),
         "tenure_before_exit": _rename(
-            cohort.tenure_before_exit_by_unit(clean, i.units, i.exits),
+            metric["mean_elapsed_by_group"],
             {"unit_name": "department_name", "mean_years": "avg_tenure_years"},
         ),
     }
@@ -130,9 +168,12 @@ def main(argv: list[str] | None = None) -> None:
     # Without --master, the launcher (spark-submit) decides master and partitions.
     spark = build_session(master=args.master, shuffle_partitions=None)
     opts = {"header": "true"} if args.format == "csv" else {}
-    results = hr_report(hr.read_hr_tables(spark, args.input, args.format, **opts))
-    out_opts = {"header": "true"} if args.output_format == "csv" else {}
-    write_report(results, args.output, args.output_format, **out_opts)
+    # Cleaned people are staged where the session names a shared folder, else next to the results.
+    staging.ensure_checkpoint_dir(spark, f"{args.output.rstrip('/')}/_staging")
+    with staging.staged_files():
+        results = hr_report(hr.read_hr_tables(spark, args.input, args.format, **opts), staged=True)
+        out_opts = {"header": "true"} if args.output_format == "csv" else {}
+        write_report(results, args.output, args.output_format, **out_opts)
 
 
 if __name__ == "__main__":

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.functions.numeric import day_number, round_half_up, rounded_percent
+from churnscope.functions.numeric import day_number
+from churnscope.operators import metrics
 from churnscope.plans import cohort
 from churnscope.plans.staging import stage
 
@@ -73,64 +74,32 @@ def person_facts(
     )
 
 
-def _rates(df: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if("has_exit").alias("leavers"))
-        .withColumn("rate", rounded_percent("leavers", "total"))
-    )
-
-
 def metrics_from_facts(facts: DataFrame) -> dict[str, DataFrame]:
     """The five metrics, named like the registered queries, from the fact table."""
+    unit = ["unit_id", "unit_name"]
     in_unit = facts.where(F.col("unit_id").isNotNull())
-    by_unit = _rates(in_unit, ["unit_id", "unit_name"])
-
-    typed = (
-        in_unit.select("unit_id", "unit_name", F.explode("exit_types").alias("exit_type"))
-        .groupBy("unit_id", "unit_name", "exit_type")
-        .agg(F.count(F.lit(1)).alias("leavers"))
-    )
-    denom = by_unit.select(F.col("unit_id").alias("__u"), "total")
-    split = typed.join(denom, typed["unit_id"].eqNullSafe(denom["__u"])).select(
-        "unit_name", "total", "exit_type", "leavers", rounded_percent("leavers", "total").alias("rate")
-    )
-
-    by_rating = _rates(in_unit.where(F.col("rating").isNotNull()), ["rating"])
-
-    amount = F.col("latest_amount")
-    gap = (
-        facts.where(amount.isNotNull())
-        .groupBy("clean_role")
-        .agg(
-            F.avg(F.when(F.col("status") == cohort.ACTIVE, amount)).alias("__a"),
-            F.avg(F.when(F.col("status") == cohort.TERMINATED, amount)).alias("__b"),
-        )
-        .select(
-            "clean_role",
-            round_half_up("__a").alias("avg_stayers"),
-            round_half_up("__b").alias("avg_leavers"),
-            round_half_up(F.col("__a") - F.col("__b")).alias("gap"),
-        )
-    )
-
-    tenure = (
-        in_unit.where(F.col("has_exit"))
-        .groupBy("unit_id", "unit_name")
-        .agg(F.sum("exit_days").alias("__s"), F.sum("exit_spans").alias("__n"))
-        .select(
-            "unit_name",
-            round_half_up(F.try_divide(F.col("__s"), F.col("__n") * F.lit(365))).alias("mean_years"),
-        )
+    hit = F.col("has_exit")
+    names = {"total": "total", "hits": "leavers", "rate": "rate"}
+    by_unit = metrics.rate_of(in_unit, unit, hit, **names)
+    split = metrics.split_rate_of(in_unit, unit, "exit_types", "exit_type", **names)
+    by_rating = metrics.rate_of(in_unit.where(F.col("rating").isNotNull()), ["rating"], hit, **names)
+    gap = metrics.group_gap(
+        facts.where(F.col("latest_amount").isNotNull()), "clean_role", "latest_amount", "status",
+        cohort.ACTIVE, cohort.TERMINATED, names=("avg_stayers", "avg_leavers", "gap"),
     )
+    tenure = metrics.mean_elapsed_of(in_unit.where(hit), unit, F.col("exit_days"), F.col("exit_spans"))
     return {
         "rate_by_group": by_unit.orderBy(F.desc("rate"), "unit_name", "unit_id").select(
             "unit_name", "total", "leavers", "rate"
         ),
-        "split_rate_by_group": split.orderBy("unit_name", "exit_type"),
+        "split_rate_by_group": split.orderBy("unit_name", "exit_type", "unit_id").select(
+            "unit_name", "total", "exit_type", "leavers", "rate"
+        ),
         "rate_by_rating": by_rating.orderBy(F.desc("rate"), "rating"),
         "salary_gap": gap.orderBy(F.asc_nulls_first("gap"), "clean_role"),
-        "mean_elapsed_by_group": tenure.orderBy(F.asc_nulls_first("mean_years"), "unit_name"),
+        "mean_elapsed_by_group": tenure.orderBy(F.asc_nulls_first("mean_years"), "unit_name", "unit_id").select(
+            "unit_name", "mean_years"
+        ),
     }
 
 

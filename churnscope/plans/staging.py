@@ -11,9 +11,12 @@ machine-local temporary folder.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATHS: dict[int, str] = {}
+
 
 def checkpoint_root(spark: SparkSession) -> str | None:
     """The folder named by ``spark.checkpoint.dir`` (or set via setCheckpointDir)."""
@@ -46,4 +49,32 @@ def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     path = f"{root.rstrip('/')}/churnscope/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path  # until unstaged
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete the files of staged DataFrames; they can't be read any more."""
+    for df in staged:
+        path = _PATHS.pop(id(df), None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staged_files():
+    """Deletes on leaving what was staged inside."""
+    before = set(_PATHS)
+    try:
+        yield
+    finally:
+        spark = SparkSession.getActiveSession()
+        for key in set(_PATHS) - before:
+            _delete(spark, _PATHS.pop(key))

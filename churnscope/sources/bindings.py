@@ -30,7 +30,8 @@ ORPHAN_UNIT_MOD, ORPHAN_UNIT_REM, ORPHAN_UNIT = 50, 2, 99  # unit_id 99
 ROLE_CASE_MOD = 8  # remainder 0 upper, 1 lower, 2 trailing space
 NULL_RATING_MOD, NULL_RATING_REM = 24, 3  # rating NULL
 RATING_LEVELS = 5  # rating = 1 + key % 5
-DUP_MOD, DUP_REM, DUP_OFFSET = 68, 5, 1_000_000  # duplicate person copies
+DUP_MOD, DUP_REM = 68, 5  # duplicate person copies
+PERSON_IDS = 2  # person_id = 2 * customer key, of its copy 2 * key + 1: no copy meets another customer
 EXIT_GAP_MOD, EXIT_GAP_REM = 97, 4  # terminated but no exit row
 INVOLUNTARY_PRIORITIES = ("1-URGENT", "2-HIGH")
 BAD_MEASURE_MOD = 100  # remainder 0 NULL, 1 zero, 2 negative
@@ -65,7 +66,10 @@ def order_summary(tables: TableReader) -> DataFrame:
     desc) in one partial + final aggregation, so a customer holding a third
     of all orders is reduced map-side before the shuffle.
     """
-    return tables("orders").groupBy("o_custkey").agg(
+    # Both roles filter on the key and on the id made of it; stated here, the filters are the
+    # same for both and so is the exchange.
+    keyed = tables("orders").where(f"o_custkey IS NOT NULL AND {PERSON_IDS} * o_custkey IS NOT NULL")
+    return keyed.groupBy("o_custkey").agg(
         F.expr("min(o_orderdate) AS first_ts"),
         F.expr("max(struct(o_orderdate, o_orderkey, o_orderstatus, o_orderpriority)) AS last"),
     )
@@ -75,9 +79,10 @@ def order_summary(tables: TableReader) -> DataFrame:
 # projection, where the same rules as Column objects cost one call per node.
 _ROLE = f"concat('{ROLE_PREFIX}', n_name)"
 _PEOPLE_BASE = (
-    "c_custkey AS person_id",
+    f"{PERSON_IDS} * c_custkey AS person_id",
     "c_name AS person_name",
-    "first_ts AS start_ts",
+    # The first date is never after the last; both are read, as ``exits`` does (one exchange).
+    "least(first_ts, last.o_orderdate) AS start_ts",
     f"""CASE WHEN c_custkey % {NULL_UNIT_MOD} = {NULL_UNIT_REM} THEN CAST(NULL AS INT)
              WHEN c_custkey % {ORPHAN_UNIT_MOD} = {ORPHAN_UNIT_REM} THEN {ORPHAN_UNIT}
              ELSE c_nationkey END AS unit_id""",
@@ -87,14 +92,15 @@ _PEOPLE_BASE = (
                                      ELSE {_ROLE} END AS role_raw""",
     f"""CASE WHEN c_custkey % {NULL_RATING_MOD} = {NULL_RATING_REM} THEN CAST(NULL AS BIGINT)
              ELSE 1 + c_custkey % {RATING_LEVELS} END AS rating""",
-    f"CASE WHEN last.o_orderstatus = 'F' THEN '{TERMINATED}' ELSE '{ACTIVE}' END AS status",
-    # Duplicate persons: the same row again under id + offset with an
+    f"""CASE WHEN last.o_orderstatus = 'F' AND first_ts <= last.o_orderdate THEN '{TERMINATED}'
+             ELSE '{ACTIVE}' END AS status""",
+    # Duplicate persons: the same row again under the odd id with an
     # upper-case role; a generator keeps it to one pass over the rows.
     f"""explode(CASE WHEN c_custkey % {DUP_MOD} = {DUP_REM} THEN array(0, 1)
                      ELSE array(0) END) AS copy""",
 )
 _PEOPLE_COPIES = (
-    f"person_id + copy * {DUP_OFFSET} AS person_id",
+    "person_id + copy AS person_id",
     "person_name",
     "start_ts",
     "unit_id",
@@ -104,30 +110,42 @@ _PEOPLE_COPIES = (
 )
 
 
-def people(tables: TableReader) -> DataFrame:
+def people(tables: TableReader, null_keys_only: bool = False) -> DataFrame:
+    """All people; ``null_keys_only``: those without a key, who by definition have
+    no orders, so that the orders are not read for them."""
     cust = tables("customer")
-    base = (
-        cust.join(tables("nation"), F.expr("c_nationkey = n_nationkey"))
-        .join(order_summary(tables), F.expr("c_custkey = o_custkey"), "left")
-        .selectExpr(*_PEOPLE_BASE)
-        .selectExpr(*_PEOPLE_COPIES)
-    )
-    # One fully NULL garbage row.
-    garbage = cust.sparkSession.range(1).selectExpr(
-        *[f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in PEOPLE_SCHEMA.fields]
-    )
+    named = cust.join(tables("nation"), F.expr("c_nationkey = n_nationkey"))
+    if null_keys_only:
+        dated = named.where("c_custkey IS NULL").selectExpr(
+            "*", "CAST(NULL AS TIMESTAMP_NTZ) AS first_ts", "named_struct('o_orderstatus', CAST(NULL AS STRING), 'o_orderdate', CAST(NULL AS TIMESTAMP_NTZ)) AS last"
+        )
+    else:
+        dated = named.join(order_summary(tables), F.expr("c_custkey = o_custkey"), "left")
+    base = dated.selectExpr(*_PEOPLE_BASE).selectExpr(*_PEOPLE_COPIES)
+    # One fully NULL garbage row. As a VALUES row it adds no "is null" constraint to the union,
+    # which would travel over joins into the other role's filters.
+    nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in PEOPLE_SCHEMA.fields)
+    garbage = cust.sparkSession.sql(f"SELECT * FROM VALUES ({nulls}) AS t({', '.join(PEOPLE_SCHEMA.fieldNames())})")
     return base.unionByName(garbage)
 
 
 def exits(tables: TableReader) -> DataFrame:
-    """Exit events: the latest order of a customer when it is finished ('F')."""
+    """Exit events: the latest order of a customer when it is finished ('F').
+
+    An exit is never before the start; stating that here makes this role read
+    the same columns of ``order_summary`` as ``people`` does, so a query that
+    uses both shuffles the orders once (a reused exchange).
+    """
     involuntary = ", ".join(f"'{p}'" for p in INVOLUNTARY_PRIORITIES)
     return (
         order_summary(tables)
-        .where(f"last.o_orderstatus = 'F' AND o_custkey % {EXIT_GAP_MOD} <> {EXIT_GAP_REM}")
+        .where(
+            f"""CASE WHEN last.o_orderstatus = 'F' AND first_ts <= last.o_orderdate
+                     THEN o_custkey % {EXIT_GAP_MOD} <> {EXIT_GAP_REM} ELSE false END"""
+        )
         .selectExpr(
             "last.o_orderkey AS exit_id",
-            "o_custkey AS person_id",
+            f"{PERSON_IDS} * o_custkey AS person_id",
             "last.o_orderdate AS exit_ts",
             f"""CASE WHEN last.o_orderpriority IN ({involuntary}) THEN 'Involuntary'
                      ELSE 'Voluntary' END AS exit_type""",
@@ -140,7 +158,7 @@ def measures(tables: TableReader) -> DataFrame:
     amount = AMOUNT_TYPE.simpleString()
     return tables("orders").selectExpr(
         "o_orderkey AS measure_id",
-        "o_custkey AS person_id",
+        f"{PERSON_IDS} * o_custkey AS person_id",
         "o_orderdate AS effective_ts",
         f"""CASE o_orderkey % {BAD_MEASURE_MOD}
                  WHEN 0 THEN CAST(NULL AS {amount})

@@ -8,7 +8,6 @@ Only the columns a query uses are read; Catalyst prunes the parquet
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,21 +85,22 @@ SCHEMAS: dict[str, T.StructType] = {
 TableReader = Callable[[str], DataFrame]
 
 
-def table_path(root: str, name: str) -> str:
-    """A table is either ``<root>/<name>.parquet`` (file or directory) or ``<root>/<name>``."""
-    candidate = os.path.join(root, f"{name}.parquet")
-    if "://" in root or os.path.exists(candidate):
-        return candidate
-    return os.path.join(root, name)
+def table_path(root: str, name: str, suffix: str = ".parquet") -> str:
+    """``<root>/<name><suffix>``, a file or directory on any filesystem Spark reads.
 
+    The layout is stated by ``suffix`` (empty for plain ``<root>/<name>``), not
+    probed: the driver's own disk says nothing of the cluster's filesystem.
+    """
+    return f"{root.rstrip('/')}/{name}{suffix}"
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+
+def read_table(spark: SparkSession, root: str, name: str, suffix: str = ".parquet") -> DataFrame:
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(table_path(root, name))
+    return reader.parquet(table_path(root, name, suffix))
 
 
-def table_reader(spark: SparkSession, root: str) -> TableReader:
+def table_reader(spark: SparkSession, root: str, suffix: str = ".parquet") -> TableReader:
     """``name -> DataFrame`` for one data directory."""
-    return lambda name: read_table(spark, root, name)
+    return lambda name: read_table(spark, root, name, suffix)

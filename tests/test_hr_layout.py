@@ -142,3 +142,53 @@ def test_command_line_writes_every_result(spark, tables, tmp_path):
     back = spark.read.parquet(str(out / "attrition_by_department"))
     assert rows(back) == rows(hr_report(tables)["attrition_by_department"])
     assert len(list(out.iterdir())) == len(hr_report(tables))
+
+
+def test_wide_ids_survive_and_bad_numbers_fail(spark, tmp_path):
+    from churnscope.sources.hr import SCHEMAS, read_hr_tables
+
+    for name, schema in SCHEMAS.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.csv").write_text(",".join(schema.fieldNames()) + "\n")
+    row = "3000000000,Ann,Lee,1,Sales Rep,2020-01-01,F,30,3,Active\n"
+    (tmp_path / "departments" / "part.csv").write_text("department_id,department_name\n1,Sales\n")
+    head = ",".join(SCHEMAS["employees"].fieldNames()) + "\n"
+    (tmp_path / "employees" / "part.csv").write_text(head + row)
+    r = hr_report(read_hr_tables(spark, str(tmp_path), "csv", header="true"))
+    assert rows(r["employees_clean"], "employee_id", "clean_department_id") == [(3000000000, 1)]
+    (tmp_path / "employees" / "part.csv").write_text(head + row.replace("3000000000", "3x"))
+    bad = read_hr_tables(spark, str(tmp_path), "csv", header="true")["employees"]
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        bad.collect()
+
+
+def test_views_by_their_original_names(spark, tables):
+    from churnscope.plans.hr import create_views
+
+    create_views(tables)
+    out = spark.sql(
+        """SELECT d.department_name, count(e.employee_id) AS total, count(a.employee_id) AS leavers
+           FROM employees_clean e JOIN departments d ON e.clean_department_id = d.department_id
+           LEFT JOIN attrition a ON a.employee_id = e.employee_id
+           GROUP BY d.department_id, d.department_name"""
+    )
+    assert rows(out) == [("Legal", 2, 1), ("Ops", 2, 0), ("Sales", 3, 1)]
+    assert spark.table("salary_clean").count() == 9
+    for name in ("employees_clean", "salary_clean", *tables):
+        spark.catalog.dropTempView(name)
+
+
+def test_staged_report_equals_the_lazy_one(spark, tables):
+    from churnscope.plans import staging
+
+    lazy = hr_report(tables)
+    with staging.staged_files():
+        staged = hr_report(tables, staged=True)
+        for name, df in lazy.items():
+            assert rows(df) == rows(staged[name]), name
+
+
+def test_expected_counts_in_the_verification(tables):
+    r = hr_report(tables, given={"raw_employees": 10, "clean_salary_rows": 8})
+    checks = {x.check_name: x.passed for x in r["verification"].collect()}
+    assert checks["raw_employees"] is True and checks["clean_salary_rows"] is False

@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from churnscope.catalog import QUERIES
 from conftest import DATA_ROOT
 
 SF = os.path.join(DATA_ROOT, "sf0.01")
@@ -15,6 +16,6 @@ SF = os.path.join(DATA_ROOT, "sf0.01")
 def test_all_queries_match_oracle(spark):
     from tools.oracle_check import check
 
-    report = check(spark, SF)
+    report = check(spark, SF, list(QUERIES))
     bad = {k: v for k, v in report.items() if not v.get("value_match")}
     assert not bad, bad

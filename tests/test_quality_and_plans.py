@@ -58,7 +58,40 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(entry_mod.queries()) == set(entry_mod.oracle_sql())
+    assert set(QUERIES) <= set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
+
+
+@pytest.mark.parametrize(
+    "key", ["rate_by_group", "split_rate_by_group", "rate_by_rating", "mean_elapsed_by_group", "audit_missing_match"]
+)
+def test_orders_are_read_once(spark, key):
+    df = QUERIES[key](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "FileScan" in line and "o_orderdate" in line]
+    assert len(scans) == 1, final
+
+
+def test_null_keys_do_not_read_orders(spark):
+    assert "o_custkey" not in _plan(QUERIES["audit_null_keys"](spark, SF_SMALL))
+
+
+def test_quality_report_can_fail(mk):
+    p = mk.people([person(1), person(2), person(3, name="b")])
+    m = mk.measures([(1, 1, 0, 5), (2, 1, 1, None)])
+    clean = cohort.clean_people(p, mk.units())
+    broken = cohort.quality(p, clean.unionByName(clean), m, clean_measure_rows=m)
+    out = {r.check_name: (r.actual, r.expected, r.passed) for r in broken.collect()}
+    assert out["clean_people"] == (4, 2, False)
+    assert out["clean_measures"] == (2, 1, False)
+
+
+def test_quality_report_given_counts(mk):
+    p, m = mk.people([person(1)]), mk.measures([(1, 1, 0, 5)])
+    out = cohort.quality(p, cohort.clean_people(p, mk.units()), m, given={"raw_people": 1, "raw_measures": 2})
+    assert {r.check_name: r.passed for r in out.collect()}["raw_people"] is True
+    assert {r.check_name: r.passed for r in out.collect()}["raw_measures"] is False
 
 
 def test_stage_round_trip(spark, mk):
@@ -66,3 +99,11 @@ def test_stage_round_trip(spark, mk):
     staged = staging.stage(p, "test-people")
     assert rows(staged) == rows(p)
     assert staging.checkpoint_root(spark)
+
+
+def test_staged_files_are_deleted(spark, mk):
+    with staging.staged_files():
+        staged = staging.stage(mk.people([person(1)]), "test-gone")
+        assert staged.count() == 1
+        path = staged.inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))

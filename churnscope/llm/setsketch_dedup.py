@@ -162,6 +162,20 @@ def likely_similarity(greater: np.ndarray, smaller: np.ndarray, equal: np.ndarra
     return np.take_along_axis(j, score.argmax(1)[:, None], 1)[:, 0]
 
 
+def reaches(similarity: float, greater: np.ndarray, smaller: np.ndarray, equal: np.ndarray, na: np.ndarray, nb: np.ndarray, base: float) -> np.ndarray:
+    """Whether the likeliest similarity is at least ``similarity``, which the set sizes must allow.
+
+    The likelihood has one peak, so the sign of its slope there tells.
+    """
+    u = na / (na + nb)
+    v = 1 - u
+    c, scale = (base - 1) / base, np.log(base)
+    x, y = np.maximum(u - v * similarity, 1e-12), np.maximum(v - u * similarity, 1e-12)
+    more, less = -np.log1p(-c * x) / scale, -np.log1p(-c * y) / scale
+    dmore, dless = -v * c / (1 - c * x) / scale, -u * c / (1 - c * y) / scale
+    return greater * dmore / more + smaller * dless / less - equal * (dmore + dless) / np.maximum(1 - more - less, 1e-12) >= 0
+
+
 def _close(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, p: SketchParams) -> np.ndarray:
     """Whether the estimated similarity of pairs is not far below the threshold."""
     least = p.percent / 100 - p.slack
@@ -172,7 +186,7 @@ def _close(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, p: Sk
     at = np.flatnonzero(out)
     if len(at):
         greater = (ra[at] > rb[at]).sum(1)
-        out[at] = likely_similarity(greater, p.registers - equal[at] - greater, equal[at], na[at], nb[at], p.base) >= least
+        out[at] = reaches(least, greater, p.registers - equal[at] - greater, equal[at], na[at], nb[at], p.base)
     return out
 
 
@@ -200,8 +214,7 @@ def _in_buckets(p: SketchParams, best: bool) -> Callable[[Iterator[pa.RecordBatc
     Rows (key, lo, hi, block, id, part, n, regs, compact) come sorted by (key,
     lo, hi); a group holds the members of two blocks of a bucket, ``2 *
     p.block`` or so. Pairs pass the estimate, then the compact sets' upper
-    bound. A pair that shares several bands is given for the first of them
-    only. ``best``: of a member's pairs with one part, only the first.
+    bound. ``best``: of a member's pairs with one part, only the first.
     """
 
     def pairs(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -210,6 +223,7 @@ def _in_buckets(p: SketchParams, best: bool) -> Callable[[Iterator[pa.RecordBatc
         new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         group = np.cumsum(new)
         width = p.rows * p.bands
+        band = np.concatenate([(band_keys(regs[s : s + 4096], p) == key[s : s + 4096, None]).argmax(1) for s in range(0, len(key), 4096)])
         out: list[tuple[int, int]] = []
         done: set[tuple[int, int]] = set()
         for d in range(1, int(np.bincount(group).max())):
@@ -217,12 +231,12 @@ def _in_buckets(p: SketchParams, best: bool) -> Callable[[Iterator[pa.RecordBatc
             i = i[(part[i] != part[i + d]) & ((lo[i] == hi[i]) | (block[i] != block[i + d]))]
             for s in range(0, len(i), 4096):
                 x, y = i[s : s + 4096], i[s : s + 4096] + d
+                # A pair that shares several bands is compared in the first of them only.
+                first = (regs[x, :width] == regs[y, :width]).reshape(len(x), p.bands, p.rows).all(2).argmax(1)
+                own = first == band[x]
+                x, y = x[own], y[own]
                 near = _close(regs[x], regs[y], n[x], n[y], p)
                 x, y = x[near], y[near]
-                if not best:
-                    first = (regs[x, :width] == regs[y, :width]).reshape(len(x), p.bands, p.rows).all(2).argmax(1)
-                    own = band_keys(regs[x], p)[np.arange(len(x)), first] == key[x]
-                    x, y = x[own], y[own]
                 for a, b in zip(x.tolist(), y.tolist()):
                     if best and (int(ids[a]), int(part[b])) in done and (int(ids[b]), int(part[a])) in done:
                         continue

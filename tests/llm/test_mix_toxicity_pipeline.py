@@ -165,7 +165,7 @@ def test_toxicity_without_labels(spark, edges, nothing):
 def test_pipeline_keeps_and_drops(spark, tmp_path):
     rows, labels = _toxic_corpus(300)
     clean = {i for i, _, y in labels if not y}
-    leak = " ".join(random.Random(8).choice([a + b for a in "ka lo mi nu".split() for b in "ban del fin gor".split()]) for _ in range(20))
+    leak = " ".join(random.Random(8).choices([a + b for a in "ka lo mi nu".split() for b in "ban del fin gor".split()], k=20))
     base = rows[1][1] + " " + rows[2][1] + " " + rows[4][1]
     near = base.split()
     near[len(near) // 2] = "changed"

@@ -94,6 +94,17 @@ def test_sketches_merge_and_estimate():
     assert abs(est[0] - 900 / 1100) < 0.08
 
 
+def test_slope_tells_where_the_peak_is():
+    rng = np.random.default_rng(2)
+    na, nb = rng.integers(80, 101, 400), rng.integers(80, 101, 400)
+    equal = rng.integers(150, 300, 400)
+    greater = ((300 - equal) * rng.uniform(0.3, 0.7, 400)).astype(int)
+    est = near.likely_similarity(greater, 300 - equal - greater, equal, na, nb, 1.1, grid=2001)
+    told = near.reaches(0.7, greater, 300 - equal - greater, equal, na, nb, 1.1)
+    clear = abs(est - 0.7) > 0.002
+    assert (told == (est >= 0.7))[clear].all() and 20 < told.sum() < 380
+
+
 def test_compact_sets_never_lose_a_link():
     rng = np.random.default_rng(1)
     for n in (5, 300, 2000):

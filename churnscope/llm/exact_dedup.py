@@ -131,6 +131,7 @@ def exact_dedup(
         .select("key"),
         "dedup-collided",
     )
+    scratch.drop([narrow, state, hits])  # the result reads the others
     out = decided.select("id", "keep_id", "group_size", "sha", "keep_locator")
     if not collided.isEmpty():
         # Only these digests' documents travel with their texts.

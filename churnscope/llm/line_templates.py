@@ -89,6 +89,7 @@ def find_templates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     found = held.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= p.min_docs)
     found = scratch.stage(found.join(marked.groupBy("template").agg(F.max("constant").alias("constant")), "template"), "lines-templates")
     lines = scratch.stage(marked.join(sized(found.select("template")), "template", "left_semi").select("line", "template"), "lines-dropped")
+    scratch.drop([often, whole, constant, marked])
     return lines, found
 
 
@@ -108,6 +109,7 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spots = spots.join(sized(lines.select("line").distinct()), "line", "left_semi")
     # At most a document's own lines come together.
     dropped = scratch.stage(spots.groupBy("id", "whole").agg(F.array_sort(F.collect_set("position")).alias("dropped")), "lines-spots")
+    scratch.drop([lines])
     places = dropped.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0]
     dropped = sized(dropped.select(F.col("id").alias("id2"), F.col("whole").alias("whole2"), "dropped"), places)
     out = own.join(dropped, F.col("id").eqNullSafe(F.col("id2")) & (F.col("whole") == F.col("whole2")), "left")

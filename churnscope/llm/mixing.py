@@ -161,6 +161,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share = scratch.stage(share.join(sized(sources.select("src", "source_size", "target")), "src"), "mix-shares")
     at = F.pmod(F.xxhash64("id"), F.col("buckets"))
     dealt = scratch.stage(rows.join(sized(share), ["src", "size"]).withColumn("bucket", F.when(F.col("extra") > 0, at)), "mix-dealt")
+    scratch.drop([rows, cells, sources, solved, share])  # the result reads the others
     per = dealt.where("extra > 0").groupBy("src", "size", "bucket").agg(F.count(F.lit(1)).alias("m"))
     before = F.sum("m").over(W.partitionBy("src", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = scratch.stage(per.select("src", "size", "bucket", F.coalesce(before, F.lit(0)).alias("before")), "mix-starts")

@@ -398,6 +398,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             members = _contract(scratch, members, found)
     labels = scratch.stage(members.where("id <> part").select("id", F.col("part").alias("label")).distinct(), "near-labels")
 
+    scratch.drop([same, buckets, members, candidates, sets])  # the result reads the others
     node = copies.select("id", F.col("rep").alias("node"))
     labels = labels.select(F.col("id").alias("node"), "label")
     out = signed.select("id", "n_shingles").join(sized(node), "id", "left")

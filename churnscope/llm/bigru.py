@@ -17,6 +17,8 @@ import numpy as np
 WORD = re.compile(r"\w+")
 #: Longer words go on as further words of the sequence.
 WORD_CHARS = 24
+#: Score that clean documents should stay under.
+EDGE = 0.7
 #: Length of the word beginnings that choose the first training windows.
 PREFIX = 5
 #: Characters have their own embedding below, share 64 above.
@@ -307,6 +309,10 @@ def train(
     if len(aside) and 0 < label[aside].sum() < len(aside):
         logits = np.array([_bag_logit(model, bags[i]) for i in aside])
         model.scale, model.shift = calibrate(logits, label[aside], np.where(label[aside] > 0, 1.0, clean_weight))
+        # Few labels make a weak model; then rather miss than reject: of the clean documents
+        # left out, one in 200 at most may reach EDGE.
+        clean = np.quantile(logits[label[aside] == 0], 0.995)
+        model.shift = min(model.shift, float(np.log(EDGE / (1 - EDGE)) - model.scale * clean))
     return model
 
 

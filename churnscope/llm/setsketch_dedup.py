@@ -265,27 +265,29 @@ def _in_buckets(p: SketchParams, best: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, label): for every end of ``edges`` (a, b) the smallest id it is connected with.
 
-    Each round a node takes the least label among its own, its neighbours' and
-    its label's; a round is one staged job. Labels never go to the driver.
+    Each round all nodes of one label take the least among their label's own
+    label and the labels next to any of them, so whole parts are hooked onto
+    each other and the rounds grow with the logarithm of the longest path.
+    Labels only fall, so the rounds end; each is one staged job. Labels never
+    go to the driver.
     """
     both = scratch.stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = scratch.stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "cc-labels")
     n = labels.count()
-    for _ in range(rounds):
+    while True:
         near = both.join(sized(labels.select(F.col("id").alias("b"), "label"), n), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        hook = near.join(sized(labels.select("id", "label"), n), "id").groupBy("label").agg(F.min("near").alias("hook"))
         far = sized(labels.select(F.col("id").alias("label"), F.col("label").alias("far")), n)
-        least = F.least("label", "near", "far")
-        after = labels.join(far, "label").join(near, "id").select("id", least.alias("label"), (least < F.col("label")).alias("moved"))
+        step = sized(hook.join(far, "label").select("label", F.least("label", "hook", "far").alias("least")), n)
+        after = labels.select("id", "label").join(step, "label").select("id", F.col("least").alias("label"), (F.col("least") < F.col("label")).alias("moved"))
         after = scratch.stage(after, "cc-labels")
         scratch.drop([labels])
         labels = after
         if labels.where("moved").isEmpty():
             break
-    else:
-        raise RuntimeError("components did not settle")
     scratch.drop([both])
     return labels.select("id", "label")
 

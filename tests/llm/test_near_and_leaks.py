@@ -82,6 +82,18 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in (100, 101, 102)}}
 
 
+@pytest.mark.parametrize("kind", ["shuffled", "descending"])
+def test_components_of_chains_in_any_order(spark, kind):
+    ids = list(range(3000))
+    if kind == "shuffled":
+        random.Random(8).shuffle(ids)
+    else:
+        ids[1:] = ids[:0:-1]  # the least id, then the others from the highest down
+    edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:])) + [(5001, 5000)], "a long, b long")
+    got = {r["id"]: r["label"] for r in near.components(Scratch(spark), edges).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 5000: 5000, 5001: 5000}
+
+
 def test_sketches_merge_and_estimate():
     p = near.SketchParams()
     rng = np.random.default_rng(0)

@@ -7,7 +7,10 @@ is matched against the rules. All of it is a projection of built-in functions
 over a document's own row: no shuffle, no Python.
 
 Sentences end at line breaks and at ``.``, ``!``, ``?`` or ``;`` before white
-space or the end. Normalising lower-cases, drops everything but letters and
+space or the end. Lines that together are a known sentence are one: a known
+sentence may run over line breaks that neither sentence punctuation precedes
+nor a blank line follows, also behind comment marks; lines with marks only are
+blank. Normalising lower-cases, drops everything but letters and
 digits, and replaces copyright years and holders by one form. Unknown
 sentences between known ones don't break a rule as long as at most
 ``max_gap`` of them stand between two neighbours of the rule.
@@ -15,6 +18,7 @@ sentences between known ones don't break a rule as long as at most
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,18 +95,43 @@ RULES: tuple[LicenceRule, ...] = (
 )
 
 SENTENCE_END = r"[\n\r]+|[.!?;]+[\x20\x09]+|[.!?;]+\z"
+#: A line break inside a paragraph, with the marks that the next line starts with.
+SOFT_BREAK = r"(?<![.!?;\n\r\x20\x09])[\x20\x09]*(?:\r\n|\n|\r)[^\p{L}\p{N}\n\r]*+(?=[^\n\r])"
+#: What soft line breaks and sentence ends become.
+SOFT, HARD = "\x01", "\x02"
 COPYRIGHT = r"^(?:c )?copyright .*$"
 
 
 def normalised(sentence: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
-    return F.regexp_replace(plain, COPYRIGHT, "copyright holder")
+    return F.regexp_replace(F.trim(sentence), COPYRIGHT, "copyright holder")
+
+
+def marked(text: Column) -> Column:
+    """The lower-cased words, with a mark at each soft line break and each sentence end."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), SOFT + HARD, "--")
+    cut = F.regexp_replace(F.regexp_replace(plain, SOFT_BREAK, SOFT), SENTENCE_END, HARD)
+    return F.regexp_replace(cut, rf"[^\p{{L}}\p{{N}}{SOFT}{HARD}]+", " ")
+
+
+def unwrapped(text: Column, forms: list[str]) -> Column:
+    """``marked`` text without the soft line breaks inside known sentences, the longest first."""
+    forms = sorted((f for f in forms if " " in f), key=lambda f: (-len(f), f))
+    if not forms:
+        return text
+    words = {f: rf"[ {SOFT}]+".join(re.escape(w) for w in f.split(" ")) for f in forms}
+    start, end = rf"(^|[{SOFT}{HARD}]) ?", rf"(?= ?(?:[{SOFT}{HARD}]|\z))"
+    whole = text
+    for f in forms:
+        whole = F.regexp_replace(whole, f"{start}{words[f]}{end}", f"$1{f}")
+    held = text.contains(SOFT) & text.rlike(f"{start}(?:{'|'.join(words.values())}){end}")
+    return F.when(held, whole).otherwise(text)
 
 
 def sentence_ids(text: Column, sentences: dict[str, tuple[str, ...]]) -> Column:
     """The text's sentences as (position, id); id is null for unknown ones. Blank ones don't count."""
     known = F.create_map(*[F.lit(x) for k, forms in sentences.items() for s in forms for x in (s, k)])
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), normalised), lambda s: s != "")
+    whole = unwrapped(marked(text), [s for forms in sentences.values() for s in forms])
+    parts = F.filter(F.transform(F.split(whole, f"[{SOFT}{HARD}]"), normalised), lambda s: s != "")
     return F.transform(parts, lambda s, i: F.struct(i.alias("position"), F.try_element_at(known, s).alias("id")))
 
 

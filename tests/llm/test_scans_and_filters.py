@@ -128,6 +128,42 @@ def test_licence_rules_keep_their_order(docs):
     assert got == {1: ["AB"], 2: [], 3: ["AB"], 4: []}
 
 
+MIT_TEXT = """Copyright (c) 2019 Some Body
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice."""
+
+
+def test_wrapped_licences(docs):
+    behind = lambda mark, text: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    rows = [(i, f"int x\n\n{behind(mark, MIT_TEXT)}\n") for i, mark in enumerate(["", "#", " *", "//", ";"])]
+    rows += [(10 + i, behind(mark, BSD_TEXT)) for i, mark in enumerate(["", "#", " *", "//", ";"])]
+    rows += [(20, MIT_TEXT.replace("\n", "\r\n")), (21, "The MIT\n\nLicense"), (22, "The MIT.\nLicense"), (23, "# The MIT\n#\n# License"), (24, "My title\nThe MIT License\nmore text"), (25, "a\x01b\x02c.\x01 d")]
+    got = {r["doc_id"]: r for r in license_scan.scan_licences(docs(rows)).collect()}
+    for i in (0, 1, 2, 3, 4, 20):
+        assert got[i]["licences"] == ["MIT"] and got[i]["sentence_ids"] == ["copyright", "mit-grant", "mit-notice", "no-warranty"], i
+    assert got[0]["positions"] == [1, 2, 3, 4] and got[0]["n_sentences"] == 7
+    for i in range(10, 15):
+        assert got[i]["licences"] == ["BSD"] and got[i]["positions"] == [0], i
+    assert [got[i]["licences"] for i in (21, 22, 23, 24)] == [[], [], [], ["MIT"]]
+    assert got[24]["positions"] == [1] and got[24]["n_sentences"] == 3
+    assert got[25]["n_sentences"] == 1
+
+
 # ---------------------------------------------------------------- lines
 
 

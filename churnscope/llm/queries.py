@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontam, exact_dedup, license_scan, line_templates, mixing, secrets, setsketch_dedup, toxicity, url_filter, warc
+from churnscope.llm import decontam, exact_dedup, license_scan, line_templates, mixing, secrets, setsketch_dedup, spelling, toxicity, url_filter, warc
 from churnscope.llm.common import shared_path, table
 
 
@@ -85,6 +85,10 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=31)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_exact_dedup": op2_exact_dedup,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_line_templates": op10_line_templates,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm import decontam, exact_dedup, license_scan, line_templates, mixing, secrets, setsketch_dedup, spelling, toxicity, url_filter, warc
+from churnscope.llm import decontam, exact_dedup, license_scan, line_templates, mixing, packing, secrets, setsketch_dedup, spelling, token_align, toxicity, url_filter, warc
 from churnscope.llm.common import shared_path, table
 
 
@@ -89,6 +89,21 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=31)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = token_align.align_tokens(table(spark, sf_dir, "documents"), a, b, params=token_align.AlignParams(digest=True))
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_exact_dedup": op2_exact_dedup,
@@ -101,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_line_templates": op10_line_templates,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_sequence_packing": op13_sequence_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

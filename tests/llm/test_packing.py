@@ -1,0 +1,119 @@
+"""Operator 13: every id once, in whole sequences; ids as the tokenizer gives them for whole texts."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from churnscope.llm import packing, tokens  # noqa: E402
+from churnscope.llm.queries import QUERIES  # noqa: E402
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    "Don't can't we'll  I'D x's'y", "<|endoftext|> in <|startoftext|>text", "a\x1cb\x1d c\x85d᠎e", "É́cole näive Ångström ﬁ", "123 4567 ½ ²3", " x y　z",
+    "İstanbul ΣΑΣ ß ẞ ª º µ", "😀😀 emoji 漢字 かな", "... ,,, a.b,c. d., e,", "\x00 ﻿​q", "ÀÉÎõü, Çà. ÿ÷×", "tab\tnew\nline\r\nvt\x0bff\x0c.", "a" * 3000, "<|endoftext", "'S 'T", "word. WORD, Word",
+]
+
+
+def _ids(texts):
+    t = tokens.json_tokenizer(tokens.read_file(PATH))
+    return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+
+
+def _random_text(rng):
+    letters = "abcXYZéÉ ,.'0½\n\t́<|>end"
+    return rng.choice(["", " "]).join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + " " * rng.randint(0, 2) for _ in range(rng.randint(1, 40)))
+
+
+def _check(rows, texts, capacity=4096):
+    """``rows``: (doc number, start, length, ids, doc_tokens, sequence_id, offset)."""
+    want = _ids(texts)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for d, start, n, ids, total, s, offset in rows:
+        assert len(ids) == 4 * n > 0 and total == len(want[d])
+        by_doc[d].append((start, n, bytes(ids)))
+        by_sequence[s].append((offset, n))
+    for d, ids in enumerate(want):
+        at, got = 0, b""
+        for start, n, x in sorted(by_doc[d]):
+            assert start == at
+            at, got = at + n, got + x
+        assert np.frombuffer(got, "<u4").tolist() == ids
+    for s in by_sequence.values():
+        end = 0
+        for offset, n in sorted(s):
+            assert offset == end
+            end += n
+        assert end == capacity or (end < capacity and end & (end - 1) == 0)
+    return by_sequence
+
+
+def test_parts_encode_like_whole_texts():
+    rng = random.Random(7)
+    texts = ODD + [_random_text(rng) for _ in range(300)] + [""]
+    words = tokens.WordBpe(tokens.read_file(PATH))
+    assert words.by_word
+    ids, texts, parts = words.split(pa.array(range(len(texts)), pa.int64()), pa.array(texts))
+    flat, counts = packing._document_ids(parts, words.encode(parts.values), 2)
+    want = _ids(texts.to_pylist())
+    assert counts.tolist() == [len(w) for w in want]
+    assert flat.tolist() == [i for w in want for i in w]
+
+
+def test_pack_covers_every_id(docs):
+    rng = random.Random(3)
+    texts = ODD + [_random_text(rng) * rng.choice([1, 1, 5, 60]) for _ in range(150)] + [None, "", "word " * 30_000]
+    got = packing.pack(docs(list(enumerate(texts))), PATH, params=packing.PackParams(block_bytes=60_000))
+    assert got.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    _check(got.collect(), texts)
+
+
+@pytest.mark.parametrize("capacity", [16, 100, 4096])
+def test_assign_goes_to_the_lowest_cost_with_room(capacity):
+    rng = random.Random(capacity)
+    p = packing.PackParams(capacity=capacity, linear=50)
+    for _ in range(20):
+        lengths = [rng.choice([1, 2, rng.randint(1, 3 * capacity)]) for _ in range(rng.randint(1, 40))]
+        pieces = packing.assign(lengths, p)
+        size = packing.rooms(sum(lengths), capacity)
+        assert sum(size) == sum(lengths) and all(n == capacity or (n & (n - 1)) == 0 for n in size)
+        # Play the pieces in document order again; each goes to the cheapest sequence with room.
+        cost, used = [0] * len(size), [0] * len(size)
+        order = sorted(pieces, key=lambda x: (-lengths[x[2]], x[2], x[3]))
+        for s, offset, d, start, n in order:
+            free = [x for x in range(len(size)) if used[x] < size[x]]
+            full_size = [x for x in free if size[x] == capacity] or free
+            assert s == min(full_size, key=lambda x: (cost[x], x)) and offset == used[s]
+            assert n == min(lengths[d] - start, size[s] - used[s])
+            cost[s] += n * (p.linear + n)
+            used[s] += n
+        assert used == size
+
+
+def test_edges(edges, nothing, docs):
+    rows = packing.pack(edges, PATH).collect()
+    total = {r["doc_id"]: 0 for r in rows}
+    for r in rows:
+        total[r["doc_id"]] += r["length"]
+    assert total[3] == total[4] == 1 and total[None] == total[1] == 11 and total[2] == 22
+    assert packing.pack(nothing, PATH).collect() == []
+    assert [r["length"] for r in packing.pack(docs([(1, None)]), PATH).collect()] == [1]
+
+
+def test_query_equals_whole_texts(spark, tmp_path, docs):
+    rng = random.Random(5)
+    texts = ODD + [_random_text(rng) * 20 for _ in range(60)]
+    docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op13_sequence_packing"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    want = _ids(texts)
+    for r in got.collect():
+        cut = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(cut, "<u4").tobytes()) and r["doc_tokens"] == len(want[r["doc_id"]])

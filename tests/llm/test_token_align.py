@@ -1,0 +1,128 @@
+"""Operator 12 against a plain merge of whole texts' tokens, and its pieces against plain loops."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from churnscope.llm import token_align, tokens  # noqa: E402
+from churnscope.llm.queries import QUERIES  # noqa: E402
+
+A, B = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+ODD = [
+    "plain words, again words.", " leading", "trailing ", "two  spaces   three", "line\n\nbreaks \n x", "tab\t tab", "<|endoftext|> plain <s> text</s>", "a▁b", "x\x85y   z　",
+    "café naïve Éà", "\U0001f600\U0001f601 漢字 かな", "don't we'll I'D", "\x00 \x1c \x1d.", "1234567 89 3.14", "    ", "\n", "a" * 500, "aaaaaaaa " * 50, "é ́x", "﻿bom", "​", "()[]{}//==!!", "https://x.example/a?b=c&d",
+]
+
+
+def _random_text(rng):
+    letters = "aeiou tnsr,.\n'09é<>A"
+    return "".join(rng.choice(letters) for _ in range(rng.randint(1, 120)))
+
+
+def _brute(rows):
+    a, b = tokens.ByteLevelBpe(tokens.read_file(A)), tokens.PieceBpe(tokens.read_file(B))
+    per, found = [], []
+    for _, text in rows:
+        ia, ib = a.encode([" " + (text or "")]).ids.tolist(), b.encode([text or ""]).ids.tolist()
+        want = (" " + (text or "")).encode()
+        groups = []
+        if text and b"".join(a.bytes[i] for i in ia) == want == b"".join(b.bytes[i] for i in ib):
+            x = y = end_x = end_y = 0
+            while x < len(ia):
+                ga, gb = [ia[x]], [ib[y]]
+                end_x, end_y, x, y = end_x + len(a.bytes[ia[x]]), end_y + len(b.bytes[ib[y]]), x + 1, y + 1
+                while end_x != end_y:
+                    if end_x < end_y:
+                        ga, end_x, x = [*ga, ia[x]], end_x + len(a.bytes[ia[x]]), x + 1
+                    else:
+                        gb, end_y, y = [*gb, ib[y]], end_y + len(b.bytes[ib[y]]), y + 1
+                groups.append((ga, gb))
+        links = Counter((i, j) for ga, gb in groups for i in ga for j in gb)
+        per.append((groups, links))
+        found.append(len(ia) if groups else 0)
+    count = Counter(p for _, links in per for p in links)
+    top = defaultdict(int)
+    for (i, _), n in count.items():
+        top[i] = max(top[i], n)
+    out = []
+    for (doc_id, _), (groups, links) in zip(rows, per):
+        text = ";".join(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}" for ga, gb in groups)
+        out.append((
+            doc_id, sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), sum(links.values()),
+            sum(n for p, n in links.items() if count[p] == top[p[0]]), sum(n * count[p] for p, n in links.items()), text,
+        ))
+    return sorted(out, key=str)
+
+
+def test_diagonals_cut_equal_work():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        a, b = (np.unique(rng.integers(0, rng.integers(2, 200), rng.integers(0, 120))) for _ in range(2))
+        merged = sorted([(x, 0) for x in a] + [(x, 1) for x in b])
+        d = np.arange(len(merged) + 1)
+        assert token_align.diagonal(a, b, d).tolist() == [sum(1 for _, s in merged[:k] if s == 0) for k in d]
+        work = int(rng.integers(1, 40))
+        i, j = token_align.borders(a, b, work)
+        assert (i[-1], j[-1]) == (len(a), len(b)) and (np.diff(i + j) <= work + 1).all()
+        common = np.intersect1d(a, b)
+        ga, gb = token_align.group_numbers(a, b, work)
+        assert ga.tolist() == np.searchsorted(common, a).tolist() and gb.tolist() == np.searchsorted(common, b).tolist()
+
+
+def test_parts_encode_like_whole_texts():
+    rng = random.Random(11)
+    texts = ODD + [_random_text(rng) for _ in range(400)]
+    ids, texts, parts = tokens.split_at_spaces(pa.array(range(len(texts)), pa.int64()), pa.array(texts))
+    a, b = tokens.ByteLevelBpe(tokens.read_file(A)), tokens.PieceBpe(tokens.read_file(B))
+    for coder, before in ((a, " "), (b, "")):
+        by_part = coder.encode([before + p for p in parts.values])
+        got = by_part.ids[tokens.spread(by_part.starts[parts.index], by_part.counts[parts.index])].tolist()
+        assert got == coder.encode([before + t for t in texts.to_pylist()]).ids.tolist()
+
+
+@pytest.mark.parametrize("block,work", [(24 << 20, 1 << 16), (700, 7)])
+def test_alignment_equals_plain_merge(docs, monkeypatch, block, work):
+    rng = random.Random(block)
+    texts = ODD + [_random_text(rng) for _ in range(60)] + [None, "", "many words " * 3000]
+    rows = list(enumerate(texts)) + [(3, ODD[0]), (3, ODD[0]), (None, ODD[0])]
+    got = token_align.align_tokens(docs(rows), A, B, params=token_align.AlignParams(block_bytes=block, work=work))
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+    assert sorted(map(tuple, got.collect()), key=str) == _brute(rows)
+
+
+def test_lists_in_small_chunks(monkeypatch):
+    rng = random.Random(2)
+    spec = tokens.ByteLevelBpe(tokens.read_file(A)), tokens.PieceBpe(tokens.read_file(B))
+    parts = sorted({w for _ in range(50) for w in _random_text(rng).split()}) + ["\U0001f600" * 20, "a" * 300]
+    whole, small = token_align.Aligner(*spec, 1 << 16), token_align.Aligner(*spec, 5)
+    whole.align(parts)
+    monkeypatch.setattr(token_align, "CHUNK", 10)
+    small.align(parts)
+    for name in ("owner", "pair", "times", "n_groups", "n_links"):
+        assert np.array_equal(getattr(whole, name), getattr(small, name))
+    assert whole.text == small.text
+
+
+def test_edges(edges, nothing):
+    got = token_align.align_tokens(edges, A, B).collect()
+    assert len(got) == 10 and sorted(r["n_a"] for r in got)[:2] == [0, 0]
+    assert {r["groups"] for r in got if r["doc_id"] in (3, 4)} == {""}
+    assert token_align.align_tokens(nothing, A, B).collect() == []
+
+
+def test_query_equals_plain_merge(spark, tmp_path, docs):
+    rng = random.Random(9)
+    rows = list(enumerate(ODD + [_random_text(rng) for _ in range(30)] + [None]))
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op12_token_alignment"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    want = [(*r[:7], hashlib.sha256(r[7].encode()).hexdigest() if r[7] else "") for r in _brute(rows)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)

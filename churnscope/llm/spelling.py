@@ -74,14 +74,10 @@ def _cuts(size: Column) -> list[Column]:
     return [F.lit(0), _half(mid), mid, mid + _half(size - mid), size]
 
 
-def _sides(word: Column, size: Column, k: int) -> tuple[Column, Column]:
-    """What stays whole before and behind chunk ``k`` of a partner of ``size``."""
-    cut = _cuts(size)
-    return word.substr(F.lit(1), cut[k]), F.right(word, size - cut[k + 1])
-
-
 def _keys(word: Column, size: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(k), size, *_sides(word, size, k)) for k in range(4)]
+    """Per chunk of a partner of ``size``, a key of what stays whole before and behind it."""
+    cut = _cuts(size)
+    return [F.xxhash64(F.lit(k), size, F.left(word, cut[k]), F.right(word, size - cut[k + 1])) for k in range(4)]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -98,17 +94,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(F.array(*_keys(F.col("word"), size), *_keys(F.col("word"), size - 1))).alias("key")
     )
     a, b, length = F.col("a"), F.col("b"), F.length("a")
-    meets = [F.lit(True)] * 4
-    for k in range(4):
-        (a1, a2), (b1, b2) = _sides(a, length, k), _sides(b, length, k)
-        meets[k] = (a1 == b1) & (a2 == b2)
     # Met in an earlier key too: that one reports the pair.
-    earlier = F.lit(False)
-    for k in range(1, 4):
-        for j in range(k):
-            earlier = earlier | ((F.col("k") == k) & meets[j])
+    cut = _cuts(length)
+    whole = F.array(*[F.struct(cut[k].alias("before"), (length - cut[k + 1]).alias("behind")) for k in range(3)])
+    same = lambda w: (F.left(a, w["before"]) == F.left(b, w["before"])) & (F.right(a, w["behind"]) == F.right(b, w["behind"]))
+    earlier = F.exists(F.slice(whole, 1, F.col("k")), same)
     once = (length < F.length("b")) | ((length == F.length("b")) & (a < b))
-    pairs = chunks.join(grams, (chunks["key"] == grams["key"]) & once & ~earlier & (F.levenshtein(a, b, 1) == 1))
+    # The distance first: few candidates pass it, and only these ask for their earlier keys.
+    pairs = chunks.join(grams, (chunks["key"] == grams["key"]) & once & (F.levenshtein(a, b, 1) == 1) & ~earlier)
     both = F.array(
         F.struct(a.alias("word"), b.alias("near"), F.col("b_n").alias("n")), F.struct(b.alias("word"), a.alias("near"), F.col("a_n").alias("n"))
     )

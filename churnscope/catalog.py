@@ -173,8 +173,7 @@ def latest_per_key(spark, root):
 
 
 def quality_report(spark, root):
-    i = _inputs(spark, root)
-    return cohort.quality(i.people, _clean(i), i.measures)
+    return cohort.staged_quality(CohortInputs.from_tables(table_reader(spark, root), staged=True))
 
 
 # ------------------------------------------------------------------ metrics
@@ -197,7 +196,7 @@ def rate_by_rating(spark, root):
 
 def salary_gap(spark, root):
     i = _inputs(spark, root)
-    return cohort.measure_gap_by_role(_clean(i), i.measures)
+    return cohort.measure_gap_by_role(cohort.clean_people(i.measured_people, i.units))
 
 
 def mean_elapsed_by_group(spark, root):

@@ -13,6 +13,7 @@ from churnscope.operators.audit import (
 from churnscope.operators.cleaning import dedup_keep_first, fd_map, impute_key_by_fd, valid_measures
 from churnscope.operators.metrics import (
     group_gap,
+    latest_by_date,
     latest_per_key,
     mean_elapsed_by_group,
     rate_by_group,
@@ -29,6 +30,7 @@ __all__ = [
     "group_gap",
     "impute_key_by_fd",
     "invalid_measure_count",
+    "latest_by_date",
     "latest_per_key",
     "mean_elapsed_by_group",
     "missing_match_count",

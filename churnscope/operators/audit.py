@@ -167,12 +167,21 @@ def fd_violations(
     duplicated dimension key cannot fan out). Empty result: the dependency
     holds and imputation through it is safe.
 
-    The pairs are made distinct before they meet the dimension, so a dependent
-    that most rows share is one row a determinant there.
+    First each determinant's smallest and largest dependent are compared, a
+    partial + final aggregation with a state of constant size: where they are equal
+    the dependency holds, whatever the dimension, and the determinant is done. Only rows of the
+    others send their distinct pairs, which meet the dimension before they are counted, so a
+    dependent that most rows share is one row a determinant there. ``df`` is read twice.
     """
     det_name = determinant_name or determinant
     det = normalize_text(determinant) if normalize else F.col(determinant)
-    pairs = df.select(det.alias(det_name), F.col(dependent).alias("__dep")).distinct()
+    pairs = df.select(det.alias(det_name), F.col(dependent).alias("__dep"))
+    # Null-safe: rows without a determinant are a determinant of their own.
+    least, most = F.min("__dep"), F.max("__dep")
+    suspects = pairs.groupBy(F.col(det_name).alias("__det")).agg(least.alias("__least"), most.alias("__most")).where("__least <> __most")
+    suspects = suspects.select(F.coalesce("__det", F.lit("")).alias("__det"), F.col("__det").isNull().alias("__none"))
+    own = (F.coalesce(det_name, F.lit("")) == F.col("__det")) & (F.col(det_name).isNull() == F.col("__none"))
+    pairs = pairs.join(suspects, own, "left_semi").distinct()
     if dim is not None:
         keys = dim.select(F.col(dim_key or dependent).alias("__dk"))
         pairs = pairs.join(keys, pairs["__dep"] == keys["__dk"], "left_semi")

@@ -188,6 +188,11 @@ def impute_key_by_fd(
     ).drop("__det", "__imputed", "__known", "__bad")
 
 
+def valid_measure(column: str) -> Column:
+    """Whether a measure is present and positive. ``x > 0`` is NULL, so not true, for NULL."""
+    return F.col(column) > 0
+
+
 def valid_measures(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose measure is present and positive (W13). ``x > 0`` is false for NULL."""
-    return df.where(F.col(column) > 0)
+    """Rows whose measure is present and positive."""
+    return df.where(valid_measure(column))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.functions._cols import as_col, as_list
-from churnscope.functions.numeric import day_number, rounded_fraction, rounded_percent, whole_units
+from churnscope.functions.numeric import day_number, packed_order, rounded_fraction, rounded_percent, whole_units
 
 
 def _population(
@@ -176,6 +176,24 @@ def latest_per_key(
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
 
 
+def latest_by_date(df: DataFrame, key: str | Sequence[str], date: str, id: str) -> DataFrame:
+    """The row of the latest ``date`` per key, ties by the highest ``id`` (W17), without a sort.
+
+    The same row as ``latest_per_key`` with both descending (a NULL date is
+    earlier than any). Date and id are packed into one fixed-width number, and
+    every other column is a ``max_by`` on it, so where these columns have a
+    fixed width too (numbers, dates, booleans) the whole thing is one partial +
+    final hash aggregation: no map task sorts its rows, and a hot key leaves it as
+    one row. ``id`` is unique within a key. Text columns are right as well, but
+    make Spark aggregate by sorting; prefer to look them up by ``id`` afterwards.
+    """
+    keys = as_list(key)
+    order = packed_order(date, df.schema[date].dataType, id)
+    rest = [c for c in df.columns if c not in keys]
+    agg = df.withColumn("__order", order).groupBy(*keys).agg(*[F.max_by(c, "__order").alias(c) for c in rest])
+    return agg.select(*df.columns)
+
+
 def group_gap(
     df: DataFrame,
     by: str | Sequence[str],

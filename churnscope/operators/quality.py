@@ -11,26 +11,40 @@ from pyspark.sql import functions as F
 Side = Sequence[tuple[DataFrame, Mapping[str, Column]]]
 
 
-def _counted(side: Side, name: str) -> list[DataFrame]:
-    """(check_name, value) rows; all counts over one DataFrame share its aggregation pass."""
-    parts = []
-    for df, checks in side:
-        row = df.agg(*[c.cast("long").alias(f"c{i}") for i, c in enumerate(checks.values())])
-        pairs = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}").alias(name)) for i, k in enumerate(checks)])
-        parts.append(row.select(F.inline(pairs)))
-    return parts
-
-
-def quality_report(actual: Side, expected: Side = (), given: Mapping[str, int] | None = None) -> DataFrame:
+def _rows(df: DataFrame, counts: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """(check_name, actual, expected) rows of all counts over one DataFrame, in one pass over it."""
+    named = [(check, side, c) for check, sides in counts.items() for side, c in sides.items()]
+    row = df.agg(*[c.cast("long").alias(f"c{i}") for i, (_, _, c) in enumerate(named)])
+    at = {(check, side): F.col(f"c{i}") for i, (check, side, _) in enumerate(named)}
+    none = F.lit(None).cast("long")
+    lines = [
+        F.struct(F.lit(check).alias("check_name"), *[at.get((check, side), none).alias(side) for side in ("actual", "expected")])
+        for check in counts
+    ]
+    return row.select(F.inline(F.array(*lines)))
+
+
+def quality_report(actual: Side, expected: Side = (), given: Mapping[str, int] | None = None, counted: Mapping[str, int] | None = None) -> DataFrame:
     """(check_name, actual, expected, passed) rows.
 
     ``actual`` counts the tables under test, ``expected`` counts what they must
-    equal, from other tables; ``given`` states expected counts outright and
+    equal, from other tables; all counts over one DataFrame share one pass.
+    ``counted`` has actual counts that were taken before, such as those observed
+    while a table was written; ``given`` states expected counts outright and
     wins. A check without an expected count has NULL there and in ``passed``.
     """
-    found = reduce(DataFrame.unionByName, _counted(actual, "actual")).withColumn("expected", F.lit(None).cast("long"))
-    for part in _counted(expected, "expected"):
-        found = found.unionByName(part.withColumn("actual", F.lit(None).cast("long")))
+    passes: dict[int, tuple[DataFrame, dict[str, dict[str, Column]]]] = {}
+    for side, tables in (("actual", actual), ("expected", expected)):
+        for df, checks in tables:
+            counts = passes.setdefault(id(df), (df, {}))[1]
+            for check, c in checks.items():
+                counts.setdefault(check, {})[side] = c
+    parts = [_rows(df, counts) for df, counts in passes.values()]
+    if counted:
+        spark = (actual or expected)[0][0].sparkSession
+        lines = ", ".join(f"('{check}', {int(n)}L, CAST(NULL AS BIGINT))" for check, n in counted.items())
+        parts.append(spark.sql(f"SELECT * FROM VALUES {lines} AS t(check_name, actual, expected)"))
+    found = reduce(DataFrame.unionByName, parts)
     # A row or two per check come together.
     out = found.groupBy("check_name").agg(F.max("actual").alias("actual"), F.max("expected").alias("expected"))
     for name, count in (given or {}).items():

@@ -6,12 +6,13 @@ returns a lazy DataFrame; nothing runs until the caller acts on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.text import BINARY, normalize_text, text_key
 from churnscope.operators import cleaning, metrics
 from churnscope.operators.quality import quality_report
+from churnscope.plans import staging
 from churnscope.sources import bindings
 from churnscope.sources.tables import TableReader
 
@@ -40,7 +41,13 @@ _ROLE_BUILDERS = {
 class CohortInputs:
     """The four input roles: given directly, or derived from the driver
     tables on first use (a query that needs only the units never builds the
-    people binding)."""
+    people binding).
+
+    ``measured_people`` are the people with ``latest_amount``, the amount of their
+    latest valid measure (NULL: none). From the driver tables it comes out of the
+    aggregation of the orders that the people need anyway, so the measures
+    are neither read nor shuffled for it.
+    """
 
     def __init__(
         self,
@@ -51,16 +58,36 @@ class CohortInputs:
     ):
         self._roles = {"people": people, "units": units, "exits": exits, "measures": measures}
         self._tables: TableReader | None = None
+        self._staged = False
+        self._history: DataFrame | None = None
 
     @classmethod
-    def from_tables(cls, tables: TableReader) -> CohortInputs:
+    def from_tables(cls, tables: TableReader, staged: bool = False) -> CohortInputs:
+        """``staged``: write the history of each customer and the people once to the
+        checkpoint folder, and read every role but the measures from there: one scan of
+        the orders and one of the customers, however many results are made of them."""
         inputs = cls()
         inputs._tables = tables
+        inputs._staged = staged
         return inputs
 
+    @property
+    def history(self) -> DataFrame | None:
+        """The staged history of each customer, with the counts of all measures."""
+        if self._history is None and self._staged:
+            sums = {c: F.sum(c) for c in ("n_measures", "n_valid", "n_bad")}
+            self._history = staging.stage(bindings.order_history(self._tables), "history", counts=sums)
+        return self._history
+
     def _role(self, name: str) -> DataFrame:
         if self._roles[name] is None and self._tables is not None:
-            self._roles[name] = _ROLE_BUILDERS[name](self._tables)
+            if self._staged and name == "people":
+                people = bindings.people(self._tables, measured=True, history=self.history)
+                self._roles[name] = staging.stage(people, "people", counts={"raw_people": F.count(F.lit(1))})
+            elif self._staged and name == "exits":
+                self._roles[name] = bindings.exits(self._tables, self.history)
+            else:
+                self._roles[name] = _ROLE_BUILDERS[name](self._tables)
         return self._roles[name]
 
     people = property(lambda self: self._role("people"))
@@ -68,6 +95,14 @@ class CohortInputs:
     exits = property(lambda self: self._role("exits"))
     measures = property(lambda self: self._role("measures"))
 
+    @property
+    def measured_people(self) -> DataFrame:
+        if self._staged:
+            return self.people
+        if self._tables is not None:
+            return bindings.people(self._tables, measured=True)
+        return with_latest(self.people, self.measures)
+
 
 # ---------------------------------------------------------------- cleaning
 
@@ -118,11 +153,13 @@ def clean_measures(measures: DataFrame) -> DataFrame:
 
 def latest_measure(measures: DataFrame) -> DataFrame:
     """Latest valid measure per person; a tie on the date goes to the higher id."""
-    return metrics.latest_per_key(
-        clean_measures(measures),
-        "person_id",
-        [F.col("effective_ts").desc(), F.col("measure_id").desc()],
-    )
+    return metrics.latest_by_date(clean_measures(measures), "person_id", "effective_ts", "measure_id")
+
+
+def with_latest(people: DataFrame, measures: DataFrame) -> DataFrame:
+    """``people`` with the amount of their latest valid measure, NULL without one."""
+    latest = latest_measure(measures).select("person_id", F.col("amount").alias("latest_amount"))
+    return people.join(latest, "person_id", "left")
 
 
 # People join their unit on the recovered key; the inner join drops
@@ -170,16 +207,17 @@ def attrition_by_rating(clean: DataFrame, units: DataFrame, exits: DataFrame) ->
     return out.orderBy(F.desc("rate"), "rating")
 
 
-def measure_gap_by_role(clean: DataFrame, measures: DataFrame) -> DataFrame:
+def measure_gap_by_role(clean: DataFrame, measures: DataFrame | None = None) -> DataFrame:
     """Q4: mean latest measure of stayers vs leavers per role, and the gap.
 
     Leaver here means status 'Terminated' (not an exit row). No unit join:
-    people whose unit is unrecoverable stay in.
+    people whose unit is unrecoverable stay in. Without ``measures``, ``clean``
+    (made of ``measured_people``) has ``latest_amount``, and nothing is joined.
     """
-    latest = latest_measure(measures).select("person_id", "amount")
-    joined = clean.select("person_id", "clean_role", "status").join(latest, "person_id")
+    if measures is not None:
+        clean = with_latest(clean.drop("latest_amount"), measures)
     out = metrics.group_gap(
-        joined, "clean_role", "amount", "status", ACTIVE, TERMINATED,
+        clean.where(F.col("latest_amount").isNotNull()), "clean_role", "latest_amount", "status", ACTIVE, TERMINATED,
         names=("avg_stayers", "avg_leavers", "gap"),
     )
     return out.orderBy(F.asc_nulls_first("gap"), "clean_role")
@@ -209,29 +247,61 @@ def quality(
     collation: str = BINARY,
     given: dict[str, int] | None = None,
 ) -> DataFrame:
-    """The verification block after cleaning, one scan per table.
+    """The verification block after cleaning; each table it is given is read once.
 
     The cleaned tables are counted (``clean``, ``clean_measure_rows``, by
-    default this module's ``clean_measures``) and held against what the raw
-    tables say: one person per natural key of the rows with an id, and the
+    default the rows that this module's ``clean_measures`` keeps) and held against
+    what the raw tables say: one person per natural key of the rows with an id, and the
     measures that are present and positive. ``given``: counts known beforehand.
     """
-    amount, unit, one = F.col("amount"), F.col("clean_unit_id"), F.lit(1)
+    one = F.lit(1)
+    found: dict[str, Column] = {"raw_measures": F.count(one)}
+    views = []
     if clean_measure_rows is None:
-        clean_measure_rows = clean_measures(measures)
-    key = F.struct(*[text_key(people, k, collation).alias(k) for k in natural_key])
-    raw_people = {"raw_people": F.count(one)}
-    bad = F.count_if(amount.isNull() | (amount <= 0))
+        found["clean_measures"] = F.count_if(cleaning.valid_measure("amount"))
+    else:
+        views.append((clean_measure_rows, {"clean_measures": F.count(one)}))
     return quality_report(
-        actual=[
-            (people, raw_people),
-            (clean, {"clean_people": F.count(one), "remaining_bad_units": F.count_if(unit.isNull() | unit.isin(*sentinels))}),
-            (measures, {"raw_measures": F.count(one)}),
-            (clean_measure_rows, {"clean_measures": F.count(one)}),
-        ],
+        actual=[(people, {"raw_people": F.count(one)}), (clean, clean_counts(sentinels)), (measures, found), *views],
         expected=[
-            (people, {"clean_people": F.count_distinct(F.when(F.col("person_id").isNotNull(), key)), "remaining_bad_units": F.lit(0) * F.count(one)}),
-            (measures, {"clean_measures": F.count(one) - bad}),
+            (people, {"clean_people": distinct_people(people, natural_key, collation), "remaining_bad_units": F.lit(0) * F.count(one)}),
+            (measures, {"clean_measures": F.count(one) - F.count_if(bad_measure("amount"))}),
         ],
         given=given,
     )
+
+
+def bad_measure(column: str) -> Column:
+    """The check's own definition, not the view's: NULL, zero or negative."""
+    return F.col(column).isNull() | (F.col(column) <= 0)
+
+
+def clean_counts(sentinels=SENTINEL_UNITS) -> dict[str, Column]:
+    """What is counted of the cleaned people."""
+    unit = F.col("clean_unit_id")
+    return {"clean_people": F.count(F.lit(1)), "remaining_bad_units": F.count_if(unit.isNull() | unit.isin(*sentinels))}
+
+
+def distinct_people(people: DataFrame, natural_key=NATURAL_KEY, collation: str = BINARY) -> Column:
+    """Number of natural keys among the rows with an id."""
+    key = F.struct(*[text_key(people, k, collation).alias(k) for k in natural_key])
+    return F.count_distinct(F.when(F.col("person_id").isNotNull(), key))
+
+
+def staged_quality(inputs: CohortInputs, sentinels=SENTINEL_UNITS, natural_key=NATURAL_KEY, collation: str = BINARY) -> DataFrame:
+    """The verification block on inputs ``from_tables(..., staged=True)``.
+
+    One scan of each raw table: the measures are counted while the history of
+    each customer is written (once by the check's definition, once by the
+    view's), the raw people while the people are; the cleaned people and the natural keys
+    they are held against come from the staged people.
+    """
+    measured = staging.staged_counts(inputs.history)
+    total, valid, bad = (measured[c] or 0 for c in ("n_measures", "n_valid", "n_bad"))
+    counted = {**staging.staged_counts(inputs.people), "raw_measures": total, "clean_measures": valid}
+    clean = clean_people(inputs.people, inputs.units, sentinels=sentinels, natural_key=natural_key, collation=collation)
+    expected = {"clean_people": distinct_people(inputs.people, natural_key, collation), "remaining_bad_units": F.lit(0) * F.count(F.lit(1))}
+    return quality_report(
+        actual=[(clean, clean_counts(sentinels))], expected=[(inputs.people, expected)],
+        counted=counted, given={"clean_measures": total - bad},
+    )

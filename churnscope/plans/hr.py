@@ -10,11 +10,14 @@ role-based plan of ``churnscope.plans.cohort``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pathlib import Path
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from churnscope.functions.text import BINARY, text_key
+from churnscope.functions.text import BINARY, CASE_INSENSITIVE, text_key
 from churnscope.operators import audit
+from churnscope.operators.quality import quality_report
 from churnscope.plans import cohort, report, staging
 from churnscope.sources import hr
 
@@ -39,8 +42,11 @@ def employees_clean(i: cohort.CohortInputs, collation: str = BINARY) -> DataFram
 
 def salary_clean(i: cohort.CohortInputs) -> DataFrame:
     """The ``salary_clean`` view."""
-    back = {v: k for k, v in hr.ROLE_NAMES["salary_history"].items()}
-    return _rename(cohort.clean_measures(i.measures), back)
+    return _salary_names(cohort.clean_measures(i.measures))
+
+
+def _salary_names(measures: DataFrame) -> DataFrame:
+    return _rename(measures, {v: k for k, v in hr.ROLE_NAMES["salary_history"].items()})
 
 
 def _clean_names(clean: DataFrame) -> DataFrame:
@@ -58,13 +64,99 @@ def _with_status(clean: DataFrame, collation: str) -> DataFrame:
     return clean.withColumn("status", F.coalesce(*listed, F.col("status")))
 
 
-def create_views(tables: dict[str, DataFrame], collation: str = BINARY) -> None:
-    """The tables and the two cleaned views under their original names, for ``spark.sql``."""
-    i = hr_inputs(tables)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    employees_clean(i, collation).createOrReplaceTempView("employees_clean")
-    salary_clean(i).createOrReplaceTempView("salary_clean")
+# Verification labels of the original queries.
+CHECK_NAMES = {
+    "raw_people": "raw_employees", "clean_people": "clean_employees", "remaining_bad_units": "remaining_bad_depts",
+    "raw_measures": "raw_salary_rows", "clean_measures": "clean_salary_rows",
+}
+
+
+class CleanViews:
+    """The raw tables and the two cleaned views by their original names, for ``spark.sql``.
+
+    ``create`` writes each cleaned view once to the checkpoint folder, so any number
+    of statements share one deduplication and key recovery, and counts the rows as
+    they are written; ``drop`` removes the names and the files. Both may
+    be repeated: creating again replaces what is there, as DROP VIEW IF EXISTS and CREATE
+    VIEW do. As a context manager the views live as long as the block::
+
+        with CleanViews(tables) as views:
+            views.sql("SELECT count(*) FROM employees_clean").show()
+
+    ``staged=False`` keeps lazy views, which each statement computes anew and which count nothing.
+    """
+
+    NAMES = ("employees_clean", "salary_clean")
+
+    def __init__(self, tables: dict[str, DataFrame], collation: str = BINARY, staged: bool = True):
+        self.tables, self.collation, self.staged = tables, collation, staged
+        self.spark = tables["employees"].sparkSession
+        self.inputs = hr_inputs(tables)
+        self.frames: dict[str, DataFrame] = {}
+        #: Rows counted while the views were written, by verification label.
+        self.counts: dict[str, int] = {}
+
+    def create(self) -> CleanViews:
+        self.drop()
+        i = self.inputs
+        clean = cohort.clean_people(i.people, i.units, natural_key=hr.NATURAL_KEY, collation=self.collation)
+        measures = i.measures
+        if self.staged:
+            clean = staging.stage(clean, "employees_clean", counts=cohort.clean_counts())
+            seen, one = Observation(), F.count(F.lit(1))
+            # The raw rows and, behind the filter, the clean ones: one pass that only reads and writes.
+            measures = cohort.clean_measures(measures.observe(seen, one.alias("raw_measures")))
+            measures = staging.stage(measures, "salary_clean", counts={"clean_measures": one})
+            found = {**staging.staged_counts(clean), **staging.staged_counts(measures), **seen.get}
+            self.counts = {CHECK_NAMES[k]: n for k, n in found.items()}
+            self._files = (clean, measures)
+        else:
+            measures = cohort.clean_measures(measures)
+        self.frames = dict(zip(self.NAMES, (_clean_names(clean), _salary_names(measures))))
+        for name, df in {**self.tables, **self.frames}.items():
+            df.createOrReplaceTempView(name)
+        return self
+
+    def sql(self, statement: str) -> DataFrame:
+        return self.spark.sql(statement)
+
+    def verification(self, given: dict[str, int] | None = None) -> DataFrame:
+        """The verification block: the counts of the written views against what the raw tables say."""
+        i = self.inputs
+        people = {
+            "clean_people": cohort.distinct_people(i.people, hr.NATURAL_KEY, self.collation),
+            "remaining_bad_units": F.lit(0) * F.count(F.lit(1)),
+        }
+        if not self.counts:
+            raise RuntimeError("create staged views first: the counts are taken while they are written")
+        own = {v: k for k, v in CHECK_NAMES.items()}
+        out = quality_report(
+            actual=[(i.people, {"raw_people": F.count(F.lit(1))})],
+            expected=[(i.people, people), (i.measures, {"clean_measures": F.count(F.lit(1)) - F.count_if(cohort.bad_measure("amount"))})],
+            counted={own[k]: n for k, n in self.counts.items()},
+            given={own[k]: n for k, n in (given or {}).items() if k in own},
+        )
+        return out.replace(CHECK_NAMES, subset=["check_name"])
+
+    def drop(self) -> None:
+        if self.frames:
+            for name in (*self.tables, *self.frames):
+                self.spark.catalog.dropTempView(name)
+            staging.unstage(*self._files)
+        self.frames, self.counts, self._files = {}, {}, ()
+
+    _files: tuple[DataFrame, ...] = ()
+
+    def __enter__(self) -> CleanViews:
+        return self.create()
+
+    def __exit__(self, *exc) -> None:
+        self.drop()
+
+
+def create_views(tables: dict[str, DataFrame], collation: str = BINARY, staged: bool = True) -> CleanViews:
+    """The tables and the two cleaned views under their original names; the result drops them again."""
+    return CleanViews(tables, collation, staged).create()
 
 
 def hr_report(
@@ -90,12 +182,9 @@ def hr_report(
     metric = report.metrics_from_facts(facts)
     clean_view = _clean_names(clean)
 
-    # Output column names and verification labels of the original queries.
+    # Output column names of the original queries.
     rate_names = {"unit_name": "department_name", "total": "total_employees",
                   "leavers": "total_leavers", "rate": "attrition_rate"}
-    check_names = {"raw_people": "raw_employees", "clean_people": "clean_employees",
-                   "remaining_bad_units": "remaining_bad_depts", "raw_measures": "raw_salary_rows",
-                   "clean_measures": "clean_salary_rows"}
     return {
         # --- audit
         "row_counts": audit.row_counts(
@@ -125,8 +214,8 @@ def hr_report(
         "salary_clean": salary_clean(i),
         "verification": cohort.quality(
             i.people, clean, i.measures, natural_key=hr.NATURAL_KEY, collation=collation,
-            given={k: (given or {})[v] for k, v in check_names.items() if v in (given or {})},
-        ).replace(check_names, subset=["check_name"]),
+            given={k: (given or {})[v] for k, v in CHECK_NAMES.items() if v in (given or {})},
+        ).replace(CHECK_NAMES, subset=["check_name"]),
         "distinct_clean_job_roles": audit.distinct_values(clean_view, "clean_job_role"),
         # --- the five questions
         "attrition_by_department": _rename(metric["rate_by_group"], rate_names),
@@ -152,8 +241,22 @@ def write_report(results: dict[str, DataFrame], out: str, fmt: str = "parquet",
         df.write.mode("overwrite").format(fmt).options(**options).save(f"{out.rstrip('/')}/{name}")
 
 
+def _expected(pairs: list[str]) -> dict[str, int]:
+    known, out = set(CHECK_NAMES.values()), {}
+    for pair in pairs:
+        name, _, count = pair.partition("=")
+        if name not in known or not count.isdigit():
+            raise SystemExit(f"--expect {pair}: use one of {', '.join(sorted(known))} and a count, as raw_employees=761")
+        out[name] = int(count)
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
-    """``python -m churnscope.plans.hr --input DIR [--format csv] --output DIR``"""
+    """``python -m churnscope.plans.hr --input DIR [--format csv] --output DIR``
+
+    Writes every result of ``hr_report``, and the result of each ``--sql`` file (one SELECT on the
+    tables and the views ``employees_clean`` and ``salary_clean``) under the file's name.
+    """
     import argparse
 
     from churnscope.session import build_session
@@ -164,16 +267,25 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--output", required=True, help="folder for the results, one sub-folder each")
     ap.add_argument("--output-format", default="parquet")
     ap.add_argument("--master", default=None, help="Spark master when run outside spark-submit")
+    ap.add_argument("--collation", default=BINARY, choices=[BINARY, CASE_INSENSITIVE], help="whether names that differ in case are equal")
+    ap.add_argument("--expect", action="append", default=[], metavar="CHECK=COUNT", help="expected count of the verification, as raw_employees=761")
+    ap.add_argument("--sql", action="append", default=[], metavar="FILE", help="a SELECT on the tables and the cleaned views")
     args = ap.parse_args(argv)
+    given = _expected(args.expect)
     # Without --master, the launcher (spark-submit) decides master and partitions.
     spark = build_session(master=args.master, shuffle_partitions=None)
     opts = {"header": "true"} if args.format == "csv" else {}
+    out_opts = {"header": "true"} if args.output_format == "csv" else {}
     # Cleaned people are staged where the session names a shared folder, else next to the results.
     staging.ensure_checkpoint_dir(spark, f"{args.output.rstrip('/')}/_staging")
+    tables = hr.read_hr_tables(spark, args.input, args.format, **opts)
     with staging.staged_files():
-        results = hr_report(hr.read_hr_tables(spark, args.input, args.format, **opts), staged=True)
-        out_opts = {"header": "true"} if args.output_format == "csv" else {}
+        results = hr_report(tables, staged=True, collation=args.collation, given=given)
         write_report(results, args.output, args.output_format, **out_opts)
+    if args.sql:
+        with CleanViews(tables, args.collation) as views:
+            asked = {Path(f).stem: views.sql(Path(f).read_text().strip().rstrip(";")) for f in args.sql}
+            write_report(asked, args.output, args.output_format, **out_opts)
 
 
 if __name__ == "__main__":

@@ -11,11 +11,13 @@ machine-local temporary folder.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-_PATHS: dict[int, str] = {}
+# Staged DataFrames by identity, with their paths and counts, until unstaged.
+_STAGED: dict[int, tuple[DataFrame, str, dict[str, int]]] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str | None:
@@ -41,23 +43,37 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return fallback
 
 
-def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
-    """Write ``df`` once as parquet in the checkpoint folder and return a reader of it."""
+def stage(df: DataFrame, name: str, root: str | None = None, counts: Mapping[str, Column] | None = None) -> DataFrame:
+    """Write ``df`` once as parquet in the checkpoint folder and return a reader of it.
+
+    ``counts``: aggregates over the rows written, taken by the job that writes
+    them (``staged_counts`` has the results). They are observed in the writing
+    stage itself, so a stage repeated after the loss of an executor counts nothing twice.
+    """
     spark = df.sparkSession
     root = root or checkpoint_root(spark)
     if not root:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     path = f"{root.rstrip('/')}/churnscope/{name}-{uuid.uuid4().hex}"
+    schema, seen = df.schema, None
+    if counts:
+        seen = Observation()
+        df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
     df.write.mode("errorifexists").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path  # until unstaged
+    out = spark.read.schema(schema).parquet(path)
+    _STAGED[id(out)] = (out, path, seen.get if seen is not None else {})
     return out
 
 
+def staged_counts(staged: DataFrame) -> dict[str, int]:
+    """The counts taken while ``staged`` was written."""
+    return _STAGED[id(staged)][2]
+
+
 def unstage(*staged: DataFrame) -> None:
     """Delete the files of staged DataFrames; they can't be read any more."""
     for df in staged:
-        path = _PATHS.pop(id(df), None)
+        _, path, _ = _STAGED.pop(id(df), (None, None, None))
         if path is not None:
             _delete(df.sparkSession, path)
 
@@ -71,10 +87,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def staged_files():
     """Deletes on leaving what was staged inside."""
-    before = set(_PATHS)
+    before = set(_STAGED)
     try:
         yield
     finally:
-        spark = SparkSession.getActiveSession()
-        for key in set(_PATHS) - before:
-            _delete(spark, _PATHS.pop(key))
+        for key in set(_STAGED) - before:
+            unstage(_STAGED[key][0])

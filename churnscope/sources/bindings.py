@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnscope.operators.cleaning import valid_measure
 from churnscope.sources.tables import TableReader
 
 # Planted-defect rules of the bindings (FIXTURES.md section 4).
@@ -59,22 +60,42 @@ def units(tables: TableReader) -> DataFrame:
     )
 
 
-def order_summary(tables: TableReader) -> DataFrame:
-    """One row per customer: first order date and the latest order.
+_AMOUNT = f"""CASE o_orderkey % {BAD_MEASURE_MOD}
+                 WHEN 0 THEN CAST(NULL AS {AMOUNT_TYPE.simpleString()})
+                 WHEN 1 THEN CAST(0 AS {AMOUNT_TYPE.simpleString()})
+                 WHEN 2 THEN CAST(-o_totalprice AS {AMOUNT_TYPE.simpleString()})
+                 ELSE CAST(o_totalprice AS {AMOUNT_TYPE.simpleString()}) END"""
 
-    ``max(struct(date, key, ...))`` picks the latest order (date desc, key
-    desc) in one partial + final aggregation, so a customer holding a third
-    of all orders is reduced map-side before the shuffle.
+
+def order_history(tables: TableReader) -> DataFrame:
+    """One row per customer key: what people, exits and measures say of it, in one pass over the orders.
+
+    ``first_ts`` and ``last`` (the latest order) make people and exits, ``latest``
+    is the latest valid measure (date desc, key desc), ``n_measures`` and
+    ``n_valid`` count measures. Every aggregate is partial + final, so a customer
+    holding a third of all orders is reduced map-side before the shuffle; those that a
+    query does not use are pruned.
     """
-    # Both roles filter on the key and on the id made of it; stated here, the filters are the
-    # same for both and so is the exchange.
-    keyed = tables("orders").where(f"o_custkey IS NOT NULL AND {PERSON_IDS} * o_custkey IS NOT NULL")
-    return keyed.groupBy("o_custkey").agg(
+    amounts = tables("orders").selectExpr("*", f"{_AMOUNT} AS amount")
+    valid = valid_measure("amount")
+    return amounts.groupBy("o_custkey").agg(
         F.expr("min(o_orderdate) AS first_ts"),
         F.expr("max(struct(o_orderdate, o_orderkey, o_orderstatus, o_orderpriority)) AS last"),
+        F.max(F.when(valid, F.struct("o_orderdate", "o_orderkey", "amount"))).alias("latest"),
+        F.count(F.lit(1)).alias("n_measures"),
+        F.count_if(valid).alias("n_valid"),
+        F.count_if(F.expr("amount IS NULL OR amount <= 0")).alias("n_bad"),
     )
 
 
+def order_summary(tables: TableReader, history: DataFrame | None = None) -> DataFrame:
+    """``order_history`` (or a staged one) of the customers with a key."""
+    # Both roles filter on the key and on the id made of it; stated here, the filters are the
+    # same for both and so is the exchange.
+    history = order_history(tables) if history is None else history
+    return history.where(f"o_custkey IS NOT NULL AND {PERSON_IDS} * o_custkey IS NOT NULL")
+
+
 # The rules below are SQL expression strings: one JVM call parses a whole
 # projection, where the same rules as Column objects cost one call per node.
 _ROLE = f"concat('{ROLE_PREFIX}', n_name)"
@@ -99,6 +120,8 @@ _PEOPLE_BASE = (
     f"""explode(CASE WHEN c_custkey % {DUP_MOD} = {DUP_REM} THEN array(0, 1)
                      ELSE array(0) END) AS copy""",
 )
+# A copy has an id of its own, which no measure carries.
+_LATEST = "CASE WHEN copy = 0 THEN latest.amount END AS latest_amount"
 _PEOPLE_COPIES = (
     "person_id + copy AS person_id",
     "person_name",
@@ -110,9 +133,13 @@ _PEOPLE_COPIES = (
 )
 
 
-def people(tables: TableReader, null_keys_only: bool = False) -> DataFrame:
-    """All people; ``null_keys_only``: those without a key, who by definition have
-    no orders, so that the orders are not read for them."""
+def people(
+    tables: TableReader, null_keys_only: bool = False, measured: bool = False, history: DataFrame | None = None
+) -> DataFrame:
+    """All people. ``null_keys_only``: those without a key, who by definition have
+    no orders, so that the orders are not read for them. ``measured``: with
+    ``latest_amount``, the amount of their latest valid measure, from the same pass
+    over the orders. ``history``: a staged ``order_history`` to read instead of the orders."""
     cust = tables("customer")
     named = cust.join(tables("nation"), F.expr("c_nationkey = n_nationkey"))
     if null_keys_only:
@@ -120,16 +147,18 @@ def people(tables: TableReader, null_keys_only: bool = False) -> DataFrame:
             "*", "CAST(NULL AS TIMESTAMP_NTZ) AS first_ts", "named_struct('o_orderstatus', CAST(NULL AS STRING), 'o_orderdate', CAST(NULL AS TIMESTAMP_NTZ)) AS last"
         )
     else:
-        dated = named.join(order_summary(tables), F.expr("c_custkey = o_custkey"), "left")
-    base = dated.selectExpr(*_PEOPLE_BASE).selectExpr(*_PEOPLE_COPIES)
+        dated = named.join(order_summary(tables, history), F.expr("c_custkey = o_custkey"), "left")
+    extra = ("latest",) if measured else ()
+    base = dated.selectExpr(*_PEOPLE_BASE, *extra).selectExpr(*_PEOPLE_COPIES, *(_LATEST,) * measured)
     # One fully NULL garbage row. As a VALUES row it adds no "is null" constraint to the union,
     # which would travel over joins into the other role's filters.
-    nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in PEOPLE_SCHEMA.fields)
-    garbage = cust.sparkSession.sql(f"SELECT * FROM VALUES ({nulls}) AS t({', '.join(PEOPLE_SCHEMA.fieldNames())})")
+    fields = [*PEOPLE_SCHEMA.fields, *[T.StructField("latest_amount", AMOUNT_TYPE)] * measured]
+    nulls = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in fields)
+    garbage = cust.sparkSession.sql(f"SELECT * FROM VALUES ({nulls}) AS t({', '.join(f.name for f in fields)})")
     return base.unionByName(garbage)
 
 
-def exits(tables: TableReader) -> DataFrame:
+def exits(tables: TableReader, history: DataFrame | None = None) -> DataFrame:
     """Exit events: the latest order of a customer when it is finished ('F').
 
     An exit is never before the start; stating that here makes this role read
@@ -138,7 +167,7 @@ def exits(tables: TableReader) -> DataFrame:
     """
     involuntary = ", ".join(f"'{p}'" for p in INVOLUNTARY_PRIORITIES)
     return (
-        order_summary(tables)
+        order_summary(tables, history)
         .where(
             f"""CASE WHEN last.o_orderstatus = 'F' AND first_ts <= last.o_orderdate
                      THEN o_custkey % {EXIT_GAP_MOD} <> {EXIT_GAP_REM} ELSE false END"""
@@ -155,14 +184,9 @@ def exits(tables: TableReader) -> DataFrame:
 
 def measures(tables: TableReader) -> DataFrame:
     """Salary-like measures: one per order, with NULL / zero / negative amounts planted."""
-    amount = AMOUNT_TYPE.simpleString()
     return tables("orders").selectExpr(
         "o_orderkey AS measure_id",
         f"{PERSON_IDS} * o_custkey AS person_id",
         "o_orderdate AS effective_ts",
-        f"""CASE o_orderkey % {BAD_MEASURE_MOD}
-                 WHEN 0 THEN CAST(NULL AS {amount})
-                 WHEN 1 THEN CAST(0 AS {amount})
-                 WHEN 2 THEN CAST(-o_totalprice AS {amount})
-                 ELSE CAST(o_totalprice AS {amount}) END AS amount""",
+        f"{_AMOUNT} AS amount",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 from collections import defaultdict
 
 
@@ -47,3 +48,30 @@ def stage_metrics(root: str, group: str) -> dict[int, dict]:
         for s, v in per_stage.items()
         if s in stages
     }
+
+
+def table_scans(root: str, group: str) -> dict[str, int]:
+    """table -> scans of it in the last plan of each SQL execution that ran jobs of the group."""
+    executions: set[str] = set()
+    plans: dict[str, dict] = {}
+    for e in _events(root):
+        kind = e.get("Event", "")
+        if kind == "SparkListenerJobStart":
+            p = e.get("Properties") or {}
+            if p.get("spark.jobGroup.id") == group and "spark.sql.execution.id" in p:
+                executions.add(p["spark.sql.execution.id"])
+        elif kind.endswith(("SparkListenerSQLExecutionStart", "SparkListenerSQLAdaptiveExecutionUpdate")):
+            plans[str(e["executionId"])] = e["sparkPlanInfo"]
+    found: dict[str, int] = defaultdict(int)
+
+    def walk(node: dict) -> None:
+        place = (node.get("metadata") or {}).get("Location", "")
+        if node["nodeName"].startswith("Scan") and (table := re.search(r"/(\w+)\.parquet", place)):
+            found[table[1]] += 1
+        if node["nodeName"] != "ReusedExchange":
+            for child in node["children"]:
+                walk(child)
+
+    for i in executions:
+        walk(plans[i])
+    return dict(found)

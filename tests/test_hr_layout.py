@@ -6,11 +6,14 @@ Expected values are worked out by hand in the comments.
 from __future__ import annotations
 
 import datetime as dt
+import os
 from decimal import Decimal as D
 
 import pytest
 
-from churnscope.plans.hr import hr_report
+from churnscope.plans import cohort
+from churnscope.plans.hr import CleanViews, create_views, hr_report, main
+from churnscope.plans.staging import checkpoint_root
 from churnscope.sources.hr import SCHEMAS
 from conftest import rows
 
@@ -133,8 +136,6 @@ def test_hr_tables_round_trip_through_files(spark, tables, tmp_path):
 
 
 def test_command_line_writes_every_result(spark, tables, tmp_path):
-    from churnscope.plans.hr import main
-
     src, out = tmp_path / "in", tmp_path / "out"
     for name, df in tables.items():
         df.write.option("header", True).csv(str(src / name))
@@ -162,20 +163,69 @@ def test_wide_ids_survive_and_bad_numbers_fail(spark, tmp_path):
         bad.collect()
 
 
-def test_views_by_their_original_names(spark, tables):
-    from churnscope.plans.hr import create_views
+QUESTION = """SELECT d.department_name, count(e.employee_id) AS total, count(a.employee_id) AS leavers
+    FROM employees_clean e JOIN departments d ON e.clean_department_id = d.department_id
+    LEFT JOIN attrition a ON a.employee_id = e.employee_id
+    GROUP BY d.department_id, d.department_name"""
+
+
+def _staged_folders(spark):
+    root = checkpoint_root(spark).removeprefix("file://").removeprefix("file:")
+    return set(os.listdir(f"{root}/churnscope")) if os.path.isdir(f"{root}/churnscope") else set()
+
 
-    create_views(tables)
-    out = spark.sql(
-        """SELECT d.department_name, count(e.employee_id) AS total, count(a.employee_id) AS leavers
-           FROM employees_clean e JOIN departments d ON e.clean_department_id = d.department_id
-           LEFT JOIN attrition a ON a.employee_id = e.employee_id
-           GROUP BY d.department_id, d.department_name"""
-    )
-    assert rows(out) == [("Legal", 2, 1), ("Ops", 2, 0), ("Sales", 3, 1)]
+@pytest.mark.parametrize("staged", [True, False])
+def test_views_live_from_create_to_drop(spark, tables, staged):
+    before = _staged_folders(spark)
+    views = create_views(tables, staged=staged)
+    assert rows(views.sql(QUESTION)) == [("Legal", 2, 1), ("Ops", 2, 0), ("Sales", 3, 1)]
     assert spark.table("salary_clean").count() == 9
-    for name in ("employees_clean", "salary_clean", *tables):
-        spark.catalog.dropTempView(name)
+    plan = views.sql(QUESTION)._jdf.queryExecution().executedPlan().toString()
+    assert ("Window" in plan) != staged  # staged: the deduplication is not done again
+    views.create()  # replaces, as DROP VIEW IF EXISTS and CREATE VIEW do
+    assert rows(views.sql(QUESTION)) == [("Legal", 2, 1), ("Ops", 2, 0), ("Sales", 3, 1)]
+    views.drop()
+    views.drop()
+    assert not {v.name for v in spark.catalog.listTables()} & {"employees_clean", "salary_clean", *tables}
+    assert _staged_folders(spark) == before
+
+
+def test_views_count_while_they_are_written(spark, tables):
+    lazy = {r.check_name: tuple(r) for r in hr_report(tables)["verification"].collect()}
+    before = _staged_folders(spark)
+    with CleanViews(tables) as views:
+        assert {r.check_name: tuple(r) for r in views.verification().collect()} == lazy
+        assert views.counts["clean_salary_rows"] == 9
+        wanted = {r.check_name: r.passed for r in views.verification({"raw_employees": 3, "raw_salary_rows": views.counts["raw_salary_rows"]}).collect()}
+        assert wanted["raw_employees"] is False and wanted["raw_salary_rows"] is True
+    assert _staged_folders(spark) == before
+    with pytest.raises(RuntimeError, match="staged"):
+        views.verification()
+
+
+def test_a_broken_view_does_not_pass(tables, monkeypatch):
+    monkeypatch.setattr(cohort, "clean_measures", lambda m: m)
+    monkeypatch.setattr(cohort, "clean_people", lambda p, *a, **k: p.withColumn("clean_unit_id", p["unit_id"]))
+    with CleanViews(tables) as views:
+        passed = {r.check_name: r.passed for r in views.verification().collect()}
+    assert passed["clean_salary_rows"] is passed["clean_employees"] is passed["remaining_bad_depts"] is False
+
+
+def test_command_line_collation_expectations_and_sql(spark, tables, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    for name, df in tables.items():
+        df.write.option("header", True).csv(str(src / name))
+    (tmp_path / "by_unit.sql").write_text(QUESTION + ";\n")
+    raw = tables["employees"].count()
+    main([
+        "--input", str(src), "--format", "csv", "--output", str(out), "--collation", "case_insensitive",
+        "--expect", f"raw_employees={raw}", "--expect", "raw_salary_rows=1", "--sql", str(tmp_path / "by_unit.sql"),
+    ])
+    passed = {r.check_name: r.passed for r in spark.read.parquet(str(out / "verification")).collect()}
+    assert passed["raw_employees"] is True and passed["raw_salary_rows"] is False
+    assert rows(spark.read.parquet(str(out / "by_unit"))) == [("Legal", 2, 1), ("Ops", 2, 0), ("Sales", 3, 1)]
+    with pytest.raises(SystemExit, match="raw_staff"):
+        main(["--input", str(src), "--output", str(out), "--expect", "raw_staff=1"])
 
 
 def test_staged_report_equals_the_lazy_one(spark, tables):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from churnscope.functions.numeric import packed_order
 from churnscope.operators import metrics
 from churnscope.plans import cohort
 from conftest import person, rows, ts
@@ -177,3 +179,36 @@ def test_rate_by_group_dim_and_where(spark, mk):
     assert rows(semi) == [(5, 1, 1, D("100.00"))]
     with pytest.raises(ValueError):
         metrics.rate_by_group(pop, ev, "id", ["u"], dim=dim)
+
+
+def test_packed_order_sorts_like_the_pair(spark):
+    days = [None, "0001-01-01 00:00:00", "1899-12-31 23:59:59.999999", "1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "2024-03-31 02:30:00", "9999-12-31 23:59:59.999999"]
+    ids = [None, -(2**63), -1, 0, 7, 2**63 - 1]
+    pairs = spark.createDataFrame([(d, i, n * 100 + m) for n, d in enumerate(days) for m, i in enumerate(ids)], "d string, i long, place int")
+    for kind in ("timestamp_ntz", "timestamp", "date"):
+        df = pairs.withColumn("d", F.col("d").cast(kind))
+        order = packed_order("d", df.schema["d"].dataType, "i")
+        got = df.withColumn("o", order).orderBy("o")
+        if kind == "date":  # days only: those of one day tie
+            got = got.where("place < 200 or place >= 400")
+        places = [r.place for r in got.select("place").collect()]
+        assert places == sorted(places), kind
+        assert df.where(order.isNull()).count() == 0
+
+
+def test_latest_by_date_is_the_first_by_window(spark):
+    rng = random.Random(5)
+    rows_ = [(i, rng.choice([1, 2, 3, None]), rng.choice([None, "2020-01-01", "2020-01-02", "2021-05-05 10:00:00"]), rng.choice([None, 1.5, 2.5]), rng.random() < 0.5) for i in range(200)]
+    rows_ += [(500, 9, None, 1.0, True), (501, 9, None, 2.0, None)]
+    df = spark.createDataFrame(rows_, "id long, k int, d string, v double, flag boolean").withColumn("d", F.col("d").cast("timestamp_ntz"))
+    got = metrics.latest_by_date(df, "k", "d", "id")
+    want = metrics.latest_per_key(df, "k", [F.desc("d"), F.desc("id")])
+    assert got.columns == df.columns and rows(got) == rows(want)
+    texts = df.withColumn("note", F.concat(F.lit("n"), "id"))
+    assert rows(metrics.latest_by_date(texts, "k", "d", "id")) == rows(metrics.latest_per_key(texts, "k", [F.desc("d"), F.desc("id")]))
+
+
+def test_latest_by_date_does_not_sort(mk):
+    m = mk.measures([(1, 1, 0, 5), (2, 1, 0, 7), (3, 2, 4, 7)])
+    plan = cohort.latest_measure(m)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan and "Window" not in plan

@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
 from churnscope.catalog import QUERIES
 from churnscope.plans import cohort, staging
-from conftest import DATA_ROOT, person, rows
+from churnscope.sources import bindings
+from churnscope.sources.tables import table_reader
+from conftest import DATA_ROOT, EVENT_LOG_DIR, person, rows
+from evlog import table_scans
 
 SF_SMALL = os.path.join(DATA_ROOT, "sf0.001")
 
@@ -62,7 +66,7 @@ def test_every_query_has_oracle():
 
 
 @pytest.mark.parametrize(
-    "key", ["rate_by_group", "split_rate_by_group", "rate_by_rating", "mean_elapsed_by_group", "audit_missing_match"]
+    "key", ["rate_by_group", "split_rate_by_group", "rate_by_rating", "mean_elapsed_by_group", "audit_missing_match", "salary_gap"]
 )
 def test_orders_are_read_once(spark, key):
     df = QUERIES[key](spark, SF_SMALL)
@@ -107,3 +111,44 @@ def test_staged_files_are_deleted(spark, mk):
         assert staged.count() == 1
         path = staged.inputFiles()[0]
     assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+@pytest.mark.parametrize("key", ["quality_report", "salary_gap"])
+def test_raw_tables_are_scanned_once(spark, key):
+    with staging.staged_files():
+        spark.sparkContext.setJobGroup(f"scans-{key}", key)
+        QUERIES[key](spark, SF_SMALL).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        reads = table_scans(EVENT_LOG_DIR, f"scans-{key}")
+    assert reads["orders"] == 1, reads
+    assert key != "quality_report" or reads["customer"] == 1, reads
+
+
+def test_staged_quality_notices_a_broken_view(spark, monkeypatch):
+    inputs = lambda: cohort.CohortInputs.from_tables(table_reader(spark, SF_SMALL), staged=True)
+    with staging.staged_files():
+        good = {r.check_name: tuple(r)[1:] for r in cohort.staged_quality(inputs()).collect()}
+        lazy = cohort.CohortInputs.from_tables(table_reader(spark, SF_SMALL))
+        want = cohort.quality(lazy.people, cohort.clean_people(lazy.people, lazy.units), lazy.measures)
+        assert good == {r.check_name: tuple(r)[1:] for r in want.collect()}
+        monkeypatch.setattr(bindings, "valid_measure", lambda c: F.col(c).isNotNull())
+        monkeypatch.setattr(cohort, "clean_people", lambda p, *a, **k: p.withColumn("clean_unit_id", p["unit_id"]))
+        bad = {r.check_name: r.passed for r in cohort.staged_quality(inputs()).collect()}
+    assert bad["clean_measures"] is bad["clean_people"] is bad["remaining_bad_units"] is False
+
+
+def test_staged_inputs_give_the_same_metrics(spark):
+    with staging.staged_files():
+        i = cohort.CohortInputs.from_tables(table_reader(spark, SF_SMALL), staged=True)
+        clean = cohort.clean_people(i.people, i.units)
+        assert rows(cohort.measure_gap_by_role(clean)) == rows(QUERIES["salary_gap"](spark, SF_SMALL))
+        assert rows(cohort.attrition_by_unit(clean, i.units, i.exits)) == rows(QUERIES["rate_by_group"](spark, SF_SMALL))
+        assert rows(cohort.measure_gap_by_role(clean, i.measures)) == rows(QUERIES["salary_gap"](spark, SF_SMALL))
+
+
+def test_counts_are_taken_while_staging(spark, mk):
+    with staging.staged_files():
+        staged = staging.stage(mk.people([person(1), person(2)]), "test-counted", counts={"n": F.count(F.lit(1)), "top": F.max("person_id")})
+        assert staging.staged_counts(staged) == {"n": 2, "top": 2}
+        empty = staging.stage(mk.people([]), "test-counted", counts={"n": F.count(F.lit(1)), "top": F.max("person_id")})
+        assert staging.staged_counts(empty) == {"n": 0, "top": None}

@@ -4,12 +4,14 @@ A staged DataFrame is written as parquet under ``spark.checkpoint.dir`` and
 read back, which cuts the lineage: several metrics can share the cleaned
 people without re-running the dedup, and a lost executor costs a re-read of
 the staged files instead of a recomputation from the raw tables. The folder
-must be shared storage on a cluster; the library never falls back to a
-machine-local temporary folder.
+must be shared storage on a cluster; only a session that runs in one process
+falls back to a temporary folder of its machine.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Mapping
 from contextlib import contextmanager
@@ -43,6 +45,20 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return fallback
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all processes of the session share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a local session (driver and executors are one process) gets a
+    temporary folder; on a cluster that would lose what executors write, so it fails.
+    """
+    root = checkpoint_root(spark)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+        root = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="churnscope-shared-"))
+    return root.rstrip("/")
+
+
 def stage(df: DataFrame, name: str, root: str | None = None, counts: Mapping[str, Column] | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the checkpoint folder and return a reader of it.
 
@@ -51,10 +67,8 @@ def stage(df: DataFrame, name: str, root: str | None = None, counts: Mapping[str
     stage itself, so a stage repeated after the loss of an executor counts nothing twice.
     """
     spark = df.sparkSession
-    root = root or checkpoint_root(spark)
-    if not root:
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-    path = f"{root.rstrip('/')}/churnscope/{name}-{uuid.uuid4().hex}"
+    root = root.rstrip("/") if root else shared_root(spark)
+    path = f"{root}/churnscope/{name}-{uuid.uuid4().hex}"
     schema, seen = df.schema, None
     if counts:
         seen = Observation()

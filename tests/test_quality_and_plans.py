@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,16 @@ def test_counts_are_taken_while_staging(spark, mk):
         assert staging.staged_counts(staged) == {"n": 2, "top": 2}
         empty = staging.stage(mk.people([]), "test-counted", counts={"n": F.count(F.lit(1)), "top": F.max("person_id")})
         assert staging.staged_counts(empty) == {"n": 0, "top": None}
+
+
+def test_a_cluster_without_a_shared_folder_fails(spark):
+    def session(master):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None, master=master)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            staging.shared_root(session(master))
+    for master in ("local", "local[8]", "local[*]"):
+        assert os.path.isdir(staging.shared_root(session(master)))
+    assert staging.shared_root(spark) == staging.checkpoint_root(spark).rstrip("/")

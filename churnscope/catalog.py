@@ -16,7 +16,7 @@ from churnscope.operators import audit, cleaning
 from churnscope.plans import cohort
 from churnscope.plans.cohort import CohortInputs
 from churnscope.sources import bindings
-from churnscope.sources.tables import table_reader
+from churnscope.sources.tables import SCHEMAS, footer_reader, table_reader
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,12 @@ def audit_row_counts(spark, root):
     return audit.row_counts({"people": i.people, "measures": i.measures, "exits": i.exits})
 
 
+def audit_table_counts(spark, root):
+    """Every raw table, counted from its files' footers."""
+    read = footer_reader(spark, root)
+    return audit.row_counts({name: read(name) for name in SCHEMAS})
+
+
 def audit_preview(spark, root):
     return audit.preview(_inputs(spark, root).people, 10, F.col("person_id").asc_nulls_first())
 
@@ -208,6 +214,7 @@ QUERIES: dict[str, QueryFn] = {
     f.__name__: f
     for f in [
         audit_row_counts,
+        audit_table_counts,
         audit_preview,
         audit_reference_table,
         audit_distinct_values,

@@ -21,7 +21,8 @@ def row_counts(
     tables: Mapping[str, DataFrame], name: str = "table_name", count: str = "row_count"
 ) -> DataFrame:
     """One row per table with its row count (W1). Each count is a global
-    aggregate: per-partition partial counts plus one tiny final merge."""
+    aggregate: per-partition partial counts plus one tiny final merge. Plain Parquet
+    tables read by ``sources.tables.footer_reader`` are counted from their footers."""
     parts = [
         df.agg(F.count(F.lit(1)).alias(count)).select(F.lit(t).alias(name), count)
         for t, df in tables.items()

@@ -104,3 +104,18 @@ def read_table(spark: SparkSession, root: str, name: str, suffix: str = ".parque
 def table_reader(spark: SparkSession, root: str, suffix: str = ".parquet") -> TableReader:
     """``name -> DataFrame`` for one data directory."""
     return lambda name: read_table(spark, root, name, suffix)
+
+
+def footer_reader(spark: SparkSession, root: str, suffix: str = ".parquet") -> TableReader:
+    """``name -> DataFrame`` whose unfiltered counts come from the Parquet footers.
+
+    Spark pushes COUNT(*) into its second-generation file reader only, which a
+    session has to choose for all its tables; so these are read in a session of their
+    own, and the caller's settings stay as they are. Each task opens footers and returns
+    a number per file; a filter or a column makes it an ordinary scan. The frames
+    combine with others of the caller's session.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return lambda name: read_table(own, root, name, suffix)

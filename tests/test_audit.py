@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from churnscope.operators import audit
 from churnscope.plans import cohort
-from conftest import person, rows, ts
+from churnscope.sources.tables import footer_reader, table_reader
+from conftest import DATA_ROOT, person, rows, ts
+
+SF_SMALL = os.path.join(DATA_ROOT, "sf0.001")
 
 
 def test_row_counts(mk):
@@ -66,3 +71,27 @@ def test_fd_violations_empty_when_functional(mk):
 def test_fd_violations_without_normalisation(mk):
     p = mk.people([person(1, unit=1, role="A"), person(2, name="b", unit=2, role="a")])
     assert audit.fd_violations(p, "role_raw", "unit_id", normalize=False).count() == 0
+
+
+def test_plain_tables_are_counted_from_footers(spark):
+    read = footer_reader(spark, SF_SMALL)
+    counts = audit.row_counts({"lineitem": read("lineitem"), "part": read("part")})
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedAggregation: [COUNT(*)]") == 2
+    plain = table_reader(spark, SF_SMALL)
+    assert rows(counts) == sorted((t, plain(t).count()) for t in ("lineitem", "part"))
+    # A filter is an ordinary scan; frames of both readers combine; the caller's settings stay.
+    some = F.col("l_quantity") > 10
+    mixed = audit.row_counts({"a": read("lineitem").where(some), "b": plain("lineitem").where(some)})
+    assert len({r.row_count for r in mixed.collect()}) == 1
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_a_clean_determinant_sends_no_pairs(spark):
+    data = [("clean", 1)] * 50 + [("CLEAN ", 1)] * 50 + [("dirty", i % 3) for i in range(9)] + [("gap", None)] * 5 + [(None, 1), (None, 2), (None, None)]
+    df = spark.createDataFrame(data, "role string, unit int")
+    assert rows(audit.fd_violations(df, "role", "unit")) == [(None, 2), ("dirty", 3)]
+    dim = spark.createDataFrame([(0,), (1,), (1,)], "unit int")
+    assert rows(audit.fd_violations(df, "role", "unit", dim)) == [("dirty", 2)]
+    one = spark.createDataFrame([(2,)], "unit int")
+    assert rows(audit.fd_violations(df, "role", "unit", one)) == []

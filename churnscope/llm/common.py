@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnscope.plans.staging import shared_root
+
 #: White space as every contract of this subpackage means it.
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]+"
@@ -22,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="churnscope-shared-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/churnscope-llm/{name}-{uuid.uuid4().hex}"
 
@@ -45,10 +40,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return shared_path(self.spark, name)
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write ``df`` once; the returned frame reads the files, so lineage ends here."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -83,6 +78,73 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bound: int
     return docs.join(sized(ids, bound=bound), id_col, "left_anti")
 
 
+def text_digest(col: Column) -> Column:
+    """SHA-256 of the text; null as empty."""
+    return F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256)
+
+
+def _keyed(docs: DataFrame, keys: dict[str, Column], rows: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` are (not) a row of ``rows``; nulls are equal, other columns' names don't matter."""
+    names = {k: f"__{k}_{uuid.uuid4().hex[:8]}" for k in keys}
+    left = docs.withColumns({names[k]: c for k, c in keys.items()})
+    on = [left[names[k]].eqNullSafe(rows[k]) for k in keys]
+    return left.join(sized(rows), on, how).drop(*names.values())
+
+
+def drop_texts(docs: DataFrame, texts: DataFrame, digest: Column, id_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose digest, and id if ``id_col`` is given, are not a row of ``texts`` (staged: sha, id).
+
+    A decision belongs to a text: rows that only share its id are not touched.
+    """
+    keys = {"sha": digest} | ({"id": F.col(id_col)} if id_col else {})
+    return _keyed(docs, keys, texts, "left_anti")
+
+
+def one_of_each(docs: DataFrame, repeated: DataFrame, digest: Column, id_col: str) -> DataFrame:
+    """``docs`` with one row of each (id, text) in ``repeated`` (staged: sha, id), whichever; other rows as they are.
+
+    Only the repeated rows are shuffled, reduced within each task before.
+    """
+    if repeated.isEmpty():
+        return docs
+    keys = {"sha": digest, "id": F.col(id_col)}
+    several = _keyed(docs, keys, repeated, "left_semi")
+    mark = f"__sha_{uuid.uuid4().hex[:8]}"
+    once = several.withColumn(mark, digest).dropDuplicates([mark, id_col]).drop(mark)
+    return _keyed(docs, keys, repeated, "left_anti").unionByName(once)
+
+
 def normal_spaces(col: Column) -> Column:
     """Each run of white space as one space; null as empty."""
     return F.regexp_replace(F.coalesce(col, F.lit("")), WHITE, " ")
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+#: Rows that a task function gets at once.
+SLICE_ROWS = 512
+
+
+def lean(run: Batches) -> Batches:
+    """``run`` for mapInArrow with small memory: it gets batches in slices, and what it has freed goes
+    back to the system when the task ends, as Spark keeps its Python workers for the stages to come."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                yield b.slice(at, SLICE_ROWS)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(sliced(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
+        trim(0)

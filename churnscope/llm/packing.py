@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm import tokens
+from churnscope.llm.common import lean
 
 #: Pieces that leave a task in one batch.
 BATCH = 2048
@@ -120,4 +121,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokens.read_file(tokenizer))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_packer(spec, params), SCHEMA).withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(lean(_packer(spec, params)), SCHEMA).withColumnRenamed("id", id_col)

@@ -12,15 +12,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts that one library call encodes at most; each result holds far more than its ids.
-CALL = 20_000
+CALL = 4_000
+#: Words whose ids a task keeps.
+WORDS = 300_000
 
 #: Every character that either library may take for white space.
 _WIDE = (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -98,13 +100,17 @@ def split_at_white(ids: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array,
     return _split(ids, texts, odd, pc.utf8_split_whitespace, lambda t: [t])
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Encoded:
-    """Token ids of many texts in one array; ``counts`` of each text."""
+    """Token ids of many texts in one array, from each text's ids as bytes; ``counts`` of each text."""
 
-    def __init__(self, lists: Iterable[list[int]]):
-        lists = list(lists)
-        self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.ids = np.fromiter(chain.from_iterable(lists), np.int32, int(self.counts.sum()))
+    def __init__(self, packed_ids: Iterable[bytes]):
+        listed = list(packed_ids)
+        self.counts = np.fromiter(map(len, listed), np.int64, len(listed)) // 4
+        self.ids = np.frombuffer(b"".join(listed), np.int32)
         self.starts = np.cumsum(self.counts) - self.counts
 
 
@@ -114,9 +120,9 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - first, counts) + np.arange(int(counts.sum()))
 
 
-def in_calls(texts: list[str], encode) -> Iterator[list[int]]:
+def in_calls(texts: list[str], encode) -> Iterator[bytes]:
     for i in range(0, len(texts), CALL):
-        yield from encode(texts[i : i + CALL])
+        yield from map(packed, encode(texts[i : i + CALL]))
 
 
 def byte_level_table() -> dict[str, int]:
@@ -134,21 +140,66 @@ def json_tokenizer(spec: bytes):
     return Tokenizer.from_str(spec.decode("utf-8"))
 
 
+#: A run of letters with at most one full stop or comma behind it: what most parts of prose are.
+SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+class Words:
+    """Ids of words, kept from block to block, up to ``WORDS`` of them (some 50 MB); beyond, it starts anew."""
+
+    def __init__(self, encode):
+        self.encode, self.known = encode, {}
+
+    def __getitem__(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= WORDS:
+                self.known.clear()
+            found = self.known[word] = packed(self.encode(word))
+        return found
+
+
+def encode_parts(parts: list[str], words: Words, tail: dict[str, bytes], whole, key=str) -> Encoded:
+    """Ids of parts: those of one word and its mark by ``words`` and ``tail``, others by ``whole``."""
+    simple = [SIMPLE.fullmatch(p) for p in parts]
+    rest = whole([p for p, m in zip(parts, simple) if not m])
+    return Encoded(words[key(m[1])] + tail[m[2]] if m else next(rest) for m in simple)
+
+
 class ByteLevelBpe:
-    """Byte-level BPE; special tokens' strings are plain text."""
+    """Byte-level BPE; special tokens' strings are plain text.
+
+    With the usual pattern a word and the mark behind it are two units of their own, so
+    words go to the BPE model directly, each distinct one once.
+    """
 
     def __init__(self, spec: bytes):
         self.tokenizer = json_tokenizer(spec)
         self.tokenizer.encode_special_tokens = True
+        d = json.loads(spec)
+        cut = d.get("pre_tokenizer") or {}
+        self.by_word = d.get("normalizer") is None and (cut.get("type"), cut.get("use_regex")) == ("ByteLevel", True)
         byte = byte_level_table()
+        self.char = {b: c for c, b in byte.items()}
         vocabulary = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         self.bytes: list[bytes] = [b""] * (vocabulary[-1][1] + 1)
         for token, i in vocabulary:
             self.bytes[i] = bytes(byte[c] for c in token)
+        self.tail = {c: next(self._whole([c])) for c in ("", ".", ",")}
+        self.words = Words(self._word)
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        return in_calls(texts, lambda call: [e.ids for e in self.tokenizer.encode_batch(call, add_special_tokens=False)])
+
+    def _word(self, word: str) -> list[int]:
+        if word.isascii():  # letters, and a space perhaps
+            word = word.replace(" ", self.char[32])
+        else:
+            word = "".join(map(self.char.__getitem__, word.encode("utf-8")))
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
 
     def encode(self, texts: list[str]) -> Encoded:
-        one = lambda call: [e.ids for e in self.tokenizer.encode_batch(call, add_special_tokens=False)]
-        return Encoded(in_calls(texts, one))
+        return encode_parts(texts, self.words, self.tail, self._whole) if self.by_word else Encoded(self._whole(texts))
 
 
 class PieceBpe:
@@ -160,7 +211,8 @@ class PieceBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         ids = list(range(self.model.get_piece_size()))
         pieces = self.model.id_to_piece(ids)
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
+        single = self.model.is_byte(ids)
+        self.bytes = [bytes([int(p[3:5], 16)]) if b else p.replace("▁", " ").encode() for b, p in zip(single, pieces)]
         #: Whether a space always begins a token.
         self.splits_at_spaces = not any(re.search("[^▁]▁", p) for p in pieces)
 
@@ -171,14 +223,12 @@ class PieceBpe:
 class WordBpe:
     """Word BPE (lower case, white space dropped, word ends marked): the ids of parts between white space.
 
-    Letters with at most one full stop or comma behind them are the common part;
-    they go to the BPE model itself, each lower-cased word once. All others go through the
+    Words go to the BPE model itself, each lower-cased word once; all other parts go through the
     whole tokenizer, special tokens' strings included.
     """
 
     #: The normaliser and the pattern that make words independent of what stands beside them; other tokenizers get whole texts.
     STEPS = [["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
-    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
     def __init__(self, spec: bytes):
         self.tokenizer = json_tokenizer(spec)
@@ -186,10 +236,11 @@ class WordBpe:
         steps = (d.get("normalizer") or {}).get("normalizers", [])
         cuts = (d.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = [[s["type"] for s in steps], cuts[0].get("pattern", {}).get("Regex")] == self.STEPS
-        self.tail = {c: self._whole([c])[0] for c in ("", ".", ",")}
+        self.tail = {c: next(self._whole([c])) for c in ("", ".", ",")}
+        self.words = Words(self._word)
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return list(in_calls(texts, lambda call: [e.ids for e in self.tokenizer.encode_batch(call, add_special_tokens=False)]))
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        return in_calls(texts, lambda call: [e.ids for e in self.tokenizer.encode_batch(call, add_special_tokens=False)])
 
     def _word(self, word: str) -> list[int]:
         if not word.isascii():
@@ -202,9 +253,4 @@ class WordBpe:
         return ids, texts, Parts(pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts))
 
     def encode(self, parts: list[str]) -> Encoded:
-        simple = [self.SIMPLE.fullmatch(p) if self.by_word else None for p in parts]
-        words = dict.fromkeys(m[1].lower() for m in simple if m)
-        for w in words:
-            words[w] = self._word(w)
-        rest = iter(self._whole([p for p, m in zip(parts, simple) if not m]))
-        return Encoded(words[m[1].lower()] + self.tail[m[2]] if m else next(rest) for m in simple)
+        return encode_parts(parts, self.words, self.tail, self._whole, str.lower) if self.by_word else Encoded(self._whole(parts))

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm import tokens
-from churnscope.llm.common import Scratch
+from churnscope.llm.common import Scratch, lean
 
-#: Entries worked on at once where lists are multiplied out, and pairs in one row of a block's list.
-CHUNK, ROW = 4 << 20, 1 << 16
+#: Entries worked on at once where lists are multiplied out; pairs in one row of a block's list, and tokens written at once.
+CHUNK, ROW = 2 << 20, 1 << 16
 
 STAGED = (
     "part string, block long, id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
@@ -50,7 +50,7 @@ RESULT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long,
 class AlignParams:
     """``work``: ends merged in one piece. ``digest``: SHA-256 of the groups in place of their text."""
 
-    block_bytes: int = 24 << 20
+    block_bytes: int = 8 << 20
     work: int = 1 << 16
     digest: bool = False
 
@@ -133,12 +133,12 @@ class Aligner:
     def _whole(self, parts: list[str], a: tokens.Encoded, b: tokens.Encoded) -> np.ndarray:
         """Parts whose joined bytes are the text's in both encodings."""
         good = np.ones(len(parts), bool)
-        for coded, t in ((a, self.a), (b, self.b)):
+        want = [b" " + p.encode("utf-8") for p in parts]
+        length, whole = np.fromiter(map(len, want), np.int64, len(want)), b"".join(want)
+        for coded, t, size in ((a, self.a, self.size_a), (b, self.b, self.size_b)):
             listed = list(map(t.bytes.__getitem__, coded.ids.tolist()))
-            want = [b" " + p.encode("utf-8") for p in parts]
-            size = np.array([len(x) for x in listed], np.int64)
-            per = np.concatenate([[0], np.cumsum(size)])[np.concatenate([coded.starts, [len(size)]]).astype(np.int64)]
-            if np.array_equal(np.diff(per), [len(w) for w in want]) and b"".join(listed) == b"".join(want):
+            per = np.concatenate([[0], np.cumsum(size[coded.ids])])[np.concatenate([coded.starts, [len(listed)]]).astype(np.int64)]
+            if np.array_equal(np.diff(per), length) and b"".join(listed) == whole:
                 continue
             ends = (coded.starts + coded.counts).tolist()
             good &= [b"".join(listed[s:e]) == w for s, e, w in zip(coded.starts.tolist(), ends, want)]
@@ -168,7 +168,8 @@ class Aligner:
         code = np.empty(len(i) + len(j), np.int64)
         code[i + first_b[ga]] = ids_a + na * (i == first_a[ga] + per_a[ga] - 1)
         code[j + first_a[gb] + per_a[gb]] = 2 * na + ids_b + nb * (j == first_b[gb] + per_b[gb] - 1)
-        whole = b"".join(map(self.pieces.__getitem__, code.tolist()))
+        runs = (code[i : i + ROW].tolist() for i in range(0, len(code), ROW))
+        whole = b"".join(b"".join(map(self.pieces.__getitem__, run)) for run in runs)
         ends = np.concatenate([[0], np.cumsum(self.piece_size[code])])[np.cumsum(self.n_a + self.n_b)].tolist()
         self.text = [whole[s:e] for s, e in zip([0, *ends], ends)]
 
@@ -217,7 +218,7 @@ def _block_rows(aligner: Aligner, block: int, ids: pa.Array, texts: pa.Array, di
     """Rows of three kinds: documents, the pairs of their parts, and the block's distinct pairs with their documents."""
     ids, texts, parts = tokens.split_at_spaces(ids, texts)
     aligner.align(parts.values)
-    filled = np.array([len(t) > 0 for t in texts.to_pylist()], bool)
+    filled = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
     valid = filled & (parts.total(~aligner.good) == 0)
     pairs, slots = np.unique(aligner.pair, return_inverse=True)
     sizes = np.bincount(aligner.owner, minlength=len(parts.values))
@@ -227,7 +228,8 @@ def _block_rows(aligner: Aligner, block: int, ids: pa.Array, texts: pa.Array, di
         index = parts.index[s : s + n]
         text = b"".join(map(aligner.text.__getitem__, index.tolist()))[:-1] if ok else b""
         groups.append(hashlib.sha256(text).hexdigest() if digest and ok else text.decode())
-        held.append(np.sort(index).astype("<i4").tobytes() if ok else b"")
+        # Sorted, as steps: small numbers, which compress well.
+        held.append(np.diff(np.sort(index), prepend=0).astype("<i4").tobytes() if ok else b"")
     sums = {c: np.where(valid, parts.total(getattr(aligner, c)), 0) for c in ("n_a", "n_b", "n_groups", "n_links")}
     yield _rows("document", block, len(ids), id=ids, groups=groups, parts=held, **sums)
     blobs = {"slots": slots.astype("<i4"), "times": aligner.times.astype("<i8"), "sizes": sizes.astype("<i4")}
@@ -265,7 +267,7 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
         run = np.concatenate([[0], np.cumsum(value[slots] * times)])
         ends = np.cumsum(sizes)
         per_part.append(run[ends] - run[ends - sizes])
-    held = [np.frombuffer(x, "<i4") for x in documents.column("parts").to_pylist()]
+    held = [np.cumsum(np.frombuffer(x, "<i4")) for x in documents.column("parts").to_pylist()]
     sums = [[int(v[h].sum()) for h in held] for v in per_part]
     c = {k: documents.column(k) for k in ("id", "n_a", "n_b", "n_groups", "n_links", "groups")}
     return pa.table({**{k: c[k] for k in list(c)[:5]}, "n_best": pa.array(sums[1], pa.int64()), "count_sum": pa.array(sums[0], pa.int64()), "groups": c["groups"]})
@@ -294,7 +296,7 @@ def align_tokens(
     scratch = Scratch(spark)
     specs = [spark.sparkContext.broadcast(tokens.read_file(p)) for p in (byte_bpe, piece_bpe)]
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    staged = scratch.stage(narrow.mapInArrow(_staging(*specs, params), STAGED), "align-blocks")
+    staged = scratch.stage(narrow.mapInArrow(lean(_staging(*specs, params)), STAGED), "align-blocks", compression="zstd")
     listed = F.posexplode(F.arrays_zip("a", "b", "docs")).alias("at", "pair")
     pairs = staged.where("part = 'pair'").select("block", "first", listed).select(
         "block", (F.col("first") + F.col("at")).alias("slot"), F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), F.col("pair.docs").alias("docs")

@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm import textvec
-from churnscope.llm.common import Scratch, drop_ids
+from churnscope.llm.common import Scratch, drop_texts, lean, text_digest
 
 Q = 8
 #: Codes of a normalised text: 32 between words, 1 between documents.
 GAP, END = 32, 1
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -237,7 +237,7 @@ def leaks_in(texts: list[str], ix: Index) -> list[tuple[int, int, int, int, int,
     return [(d, item, s, t, len(ws), sum(ws.values())) for (d, item), (s, t, ws) in sorted(found.items())]
 
 
-def _finder(ix: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(ix: Index, id_type: pa.DataType = pa.int64()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
@@ -246,7 +246,8 @@ def _finder(ix: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 if rows:
                     columns = [list(c) for c in zip(*rows)]
                     columns[0] = [ids[lo + i] for i in columns[0]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "item_id", "start", "end", "windows", "edits"])
+                    types = [id_type] + [pa.int64()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "item_id", "start", "end", "windows", "edits"])
 
     return run
 
@@ -282,20 +283,29 @@ def find_leaks(
     without text or id, and those too short, match nothing. Repeated rows give
     repeated rows, an empty table none. Other columns are not read.
     """
-    shape = T.StructType([T.StructField(c, T.LongType()) for c in ("id", "item_id", "start", "end", "windows", "edits")])
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _found(own, benchmark, item_col, item_text_col, params, T.LongType(), pa.int64()).withColumnRenamed("id", id_col)
+
+
+def _found(own: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, params: LeakParams, kind: T.DataType, id_type: pa.DataType) -> DataFrame:
+    shape = T.StructType([T.StructField("id", kind)] + [T.StructField(c, T.LongType()) for c in ("item_id", "start", "end", "windows", "edits")])
     out = None
     for block in item_blocks(benchmark, item_col, item_text_col, params.block_chars):
         if (ix := build_index(block, params)) is not None:
-            part = own.mapInArrow(_finder(ix), shape)
+            part = own.mapInArrow(lean(_finder(ix, id_type)), shape)
             out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], shape)
-    return out.withColumnRenamed("id", id_col)
+    return own.sparkSession.createDataFrame([], shape) if out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LeakParams = LeakParams()) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; its columns are unchanged."""
+    """``docs`` without the rows whose text holds a benchmark item; its columns are unchanged.
+
+    The text decides: rows that share an id with such a row stay. Rows without an id
+    stay, as do null and empty texts; repeated rows share their decision; an empty
+    table, or an empty benchmark, changes nothing.
+    """
     scratch = Scratch(docs.sparkSession)
-    leaked = find_leaks(docs, benchmark, id_col, text_col, params=params).where(F.col(id_col).isNotNull()).select(id_col).distinct()
-    return drop_ids(docs, scratch.stage(leaked, "leaked"), id_col)
+    own = docs.select(text_digest(F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
+    leaked = _found(own, benchmark, "item_id", "text", params, T.StringType(), pa.string()).select(F.col("id").alias("sha")).distinct()
+    named = F.when(F.col(id_col).isNotNull(), text_digest(F.col(text_col)))
+    return drop_texts(docs, scratch.stage(leaked, "leaked"), named)

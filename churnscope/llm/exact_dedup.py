@@ -19,15 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import Scratch, drop_ids, keep_ids, normal_spaces
+from churnscope.llm.common import Scratch, drop_texts, keep_ids, normal_spaces, one_of_each
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # One bound for all state stores of an executor, outside the heap.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    # Stores of a stream that has ended are closed this soon.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.stateStore.minDeltasForSnapshot": "10",
     # Many small state stores: no space allocated ahead for each one's logs.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -60,23 +62,21 @@ def run_stream(scratch: Scratch, source: str, schema, max_bytes_per_trigger: int
     """
     spark = scratch.spark
     checkpoint = checkpoint or scratch.path("dedup-state")
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(source)
-        query = (
-            first_seen(stream)
-            .writeStream.outputMode("update")
-            .format("noop")
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # A session of its own: the stream's settings reach nothing else that runs beside it.
+    streaming = spark.newSession()
+    for k, v in {**spark.conf.getAll, **ROCKSDB}.items():
+        if streaming.conf.isModifiable(k):
+            streaming.conf.set(k, v)
+    stream = streaming.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(source)
+    query = (
+        first_seen(stream)
+        .writeStream.outputMode("update")
+        .format("noop")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     state = spark.read.format("statestore").load(checkpoint)
     first, rows = state.schema["value"].dataType.names
     return state.select(
@@ -152,7 +152,18 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that repeat another row's text; its columns are unchanged."""
+    """``docs`` with one row of each text, up to white space; its columns are unchanged.
+
+    Of equal texts a row of the smallest id stays; of rows that repeat both id and
+    text, one. Rows without an id stay only where no row of their text has one, and
+    then one does. Rows that share an id but not the text don't affect each other. Null
+    counts as the empty text; an empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession)
-    copies = exact_dedup(docs, id_col, text_col).where("not kept").select(id_col).distinct()
-    return drop_ids(docs, scratch.stage(copies, "dedup-copies"), id_col)
+    decided = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    seen = scratch.stage(decided.groupBy("id", "sha", "kept").agg(F.count(F.lit(1)).alias("n")), "dedup-seen")
+    gone = scratch.stage(seen.where("not kept").select("sha", "id"), "dedup-copies")
+    repeated = scratch.stage(seen.where("kept and n > 1").select("sha", "id"), "dedup-repeated")
+    scratch.drop([seen])
+    sha = F.sha2(normal_spaces(F.col(text_col)).cast("binary"), 256)
+    return one_of_each(drop_texts(docs, gone, sha, id_col), repeated, sha, id_col)

@@ -131,6 +131,10 @@ def whole_copies(cells: DataFrame, solved: DataFrame, p: MixParams) -> DataFrame
     return own.select("src", "size", "n", "copies")
 
 
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: MixParams = MixParams()) -> DataFrame:
     """One row per document: ``id_col``, size, source_size, target, copies, taken.
 
@@ -143,10 +147,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     repeated rows are documents of their own. An empty table gives no rows;
     other columns are not read.
     """
+    out = _dealt(docs, id_col, text_col, source_col, params)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, params: MixParams) -> DataFrame:
+    """A row per document: id, src, tag (a hash of the text), size, source_size, target, copies."""
     p, scratch = params, Scratch(docs.sparkSession)
-    src = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+    src = _source_key(F.col(source_col))
     rows = scratch.stage(
-        docs.select(F.col(id_col).alias("id"), src.alias("src"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")),
+        docs.select(
+            F.col(id_col).alias("id"), src.alias("src"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tag")
+        ),
         "mix-sizes",
     )
     cells = scratch.stage(rows.groupBy("src", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
@@ -168,23 +180,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rank = F.row_number().over(W.partitionBy("src", "size", "bucket").orderBy(F.xxhash64("id"), "id"))
     ranked = dealt.where("extra > 0").join(sized(starts), ["src", "size", "bucket"]).withColumn("more", (F.col("before") + rank <= F.col("extra")).cast("long"))
     even = dealt.where("extra = 0").withColumn("more", F.lit(0).cast("long"))
-    columns = ["id", "src", "size", "source_size", "target", "base", "more"]
-    out = ranked.select(columns).unionByName(even.select(columns)).withColumn("copies", F.col("base") + F.col("more"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    columns = ["id", "src", "tag", "size", "source_size", "target", "base", "more"]
+    return ranked.select(columns).unionByName(even.select(columns)).withColumn("copies", F.col("base") + F.col("more"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", params: MixParams = MixParams()) -> DataFrame:
     """The documents the mix takes, with all their columns, ``mix_copies`` and ``mix_taken``.
 
-    Rows that repeat an id and a size get the largest number of copies among
-    them. Rows without an id take part once each.
+    Columns of these two names that ``docs`` has are replaced. Rows that repeat
+    id, source and text come as one row with the copies of all of them; rows that
+    share an id only have copies of their own. Rows without an id take part once
+    each. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    plan = mix(docs, id_col, text_col, source_col, params).where("copies > 0")
-    plan = scratch.stage(plan.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("mix_id"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("mix_copies"), F.max("taken").alias("mix_taken")), "mix-plan")
-    sizes = docs.withColumn("mix_size", word_count(F.col(text_col)))
-    kept = sizes.join(sized(plan), (F.col(id_col) == F.col("mix_id")) & (sizes["mix_size"] == plan["mix_size"]))
-    columns = [docs[c] for c in docs.columns]
-    kept = kept.select(*columns, "mix_copies", "mix_taken")
-    nameless = sizes.where(F.col(id_col).isNull()).select(*columns, F.lit(1).cast("long").alias("mix_copies"), F.col("mix_size").alias("mix_taken"))
+    docs = docs.drop("mix_copies", "mix_taken")
+    keys = ["id", "src", "size", "tag"]
+    plan = _dealt(docs, id_col, text_col, source_col, params).where("id is not null").groupBy(*keys)
+    plan = plan.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    plan = scratch.stage(plan.select(*[F.col(c).alias(f"__mix_{c}") for c in (*keys, "copies", "rows")]), "mix-plan")
+    own = dict(zip(keys, (F.col(id_col), _source_key(F.col(source_col)), word_count(F.col(text_col)), F.xxhash64(text_col))))
+    kept = docs.join(sized(plan), [F.col(f"__mix_{k}") == c for k, c in own.items()])
+    once = kept.where("__mix_rows > 1").dropDuplicates([f"__mix_{k}" for k in keys])
+    kept = kept.where("__mix_rows = 1").unionByName(once)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    copies = F.col("__mix_copies")
+    kept = kept.select(*columns, copies.alias("mix_copies"), (copies * F.col("__mix_size")).alias("mix_taken"))
+    nameless = docs.where(F.col(id_col).isNull()).select(*columns, F.lit(1).cast("long").alias("mix_copies"), word_count(F.col(text_col)).cast("long").alias("mix_taken"))
     return kept.unionByName(nameless)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm import textvec
-from churnscope.llm.common import BROADCAST_ROWS, Scratch, drop_ids, keep_ids, sized
+from churnscope.llm.common import BROADCAST_ROWS, Scratch, drop_ids, drop_texts, keep_ids, lean, one_of_each, sized, text_digest
 
 
 @dataclass(frozen=True)
@@ -308,7 +308,7 @@ class _Verifier:
         ra = self.regs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
         rb = self.regs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
         seen = pairs.join(ra, "a").join(rb, "b").select("a", "b", "na", "nb", "ra", "rb", "pa", "pb")
-        return seen.mapInArrow(_likely(self.p), PAIR)
+        return seen.mapInArrow(lean(_likely(self.p)), PAIR)
 
     def between_parts(self, members: DataFrame, best: bool = False) -> DataFrame:
         """All pairs that share a bucket, lie in different parts and may be linked.
@@ -325,7 +325,7 @@ class _Verifier:
         rows = rows.join(self.regs, "id").join(self.compact, "id")
         rows = rows.select("key", "lo", "hi", "block", "id", "part", "n_shingles", "regs", "compact")
         dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        return dealt.mapInArrow(_in_buckets(p, best), PAIR).distinct()
+        return dealt.mapInArrow(lean(_in_buckets(p, best)), PAIR).distinct()
 
     def links(self, likely: DataFrame) -> DataFrame:
         """Of pairs (a, b, pa, pb) the linked ones' parts (a, b), staged: verified on the full sets."""
@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     p, scratch = params, Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.stage(own.mapInArrow(_signer(p), "id long, n_shingles long, digest binary, keys array<long>, regs binary"), "near-sketches")
+    signed = scratch.stage(own.mapInArrow(lean(_signer(p)), "id long, n_shingles long, digest binary, keys array<long>, regs binary"), "near-sketches")
     solid = signed.where("n_shingles > 0 and id is not null")
     same = scratch.stage(solid.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "near-same")
     copies = scratch.stage(solid.select("id", "digest").join(same.where("n > 1"), "digest").where("id <> rep").select("id", "rep").distinct(), "near-copies")
@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch.stage(exploded.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "near-buckets")
     members = scratch.stage(exploded.join(sized(buckets), "key", "left_semi").select("key", "id", F.col("id").alias("part")), "near-members")
     candidates = scratch.stage(members.select("id").distinct(), "near-candidates")
-    sets = scratch.stage(keep_ids(own.where("id is not null"), candidates, "id").mapInArrow(_setter(p), "id long, items array<long>, compact binary"), "near-sets")
+    sets = scratch.stage(keep_ids(own.where("id is not null"), candidates, "id").mapInArrow(lean(_setter(p)), "id long, items array<long>, compact binary"), "near-sets")
     verify = _Verifier(scratch, keep_ids(signed, candidates, "id"), sets, p)
 
     for r in range(p.star_rounds):
@@ -410,10 +410,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SketchParams = SketchParams()) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; its columns are unchanged."""
+    """``docs`` with one row of each near-duplicate group; its columns are unchanged.
+
+    The row of the smallest id stays, of rows that repeat id and text one. Rows
+    that share an id with another text are nodes of their own under negative
+    numbers, and stay before the others of their group. Rows without an id, and
+    texts without words, stay. An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession)
-    gone = near_duplicates(docs, id_col, text_col, params).where("not kept").select(id_col).distinct()
-    return drop_ids(docs, scratch.stage(gone, "near-gone"), id_col)
+    sha = text_digest(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), sha.alias("sha")).where("id is not null").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    texts = scratch.stage(texts, "near-texts")
+    several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("id")
+    # Numbers of a written table: read again, they are the same.
+    shared = texts.join(several, "id", "left_semi").select("id", "sha", (-1 - F.monotonically_increasing_id()).alias("node"))
+    shared = scratch.stage(shared, "near-shared")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), sha.alias("sha"), F.col(text_col).alias("text"))
+    if shared.isEmpty():
+        own = own.withColumn("node", F.col("id"))
+    else:
+        own = own.join(sized(shared), ["id", "sha"], "left").withColumn("node", F.coalesce("node", "id"))
+    gone = near_duplicates(own.select("node", "text"), "node", "text", params).where("not kept").select("node").distinct()
+    gone = scratch.stage(gone, "near-gone")
+    nodes = texts.join(sized(shared), ["id", "sha"], "left").select("id", "sha", "n", F.coalesce("node", "id").alias("node"))
+    out_of = scratch.stage(nodes.join(sized(gone), "node", "left_semi").select("sha", "id"), "near-dropped")
+    stay = scratch.stage(nodes.where("n > 1").join(sized(gone), "node", "left_anti").select("sha", "id"), "near-repeated")
+    scratch.drop([texts, shared, gone])
+    return one_of_each(drop_texts(docs, out_of, sha, id_col), stay, sha, id_col)
 
 
 __all__ = ["BROADCAST_ROWS", "SketchParams", "band_keys", "components", "drop_near_copies", "likely_similarity", "near_duplicates", "sketch"]

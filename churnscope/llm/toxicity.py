@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm import bigru, textvec
-from churnscope.llm.common import Scratch, drop_ids
+from churnscope.llm.common import Scratch, drop_texts, lean, text_digest
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = scratch.stage(parts[0].unionByName(parts[1]), "toxicity-sample")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most sample_toxic + sample_clean ids: a bounded broadcast.
-    picked = own.join(F.broadcast(chosen), "id").select("id", "toxic", "text").mapInArrow(_sampler(params), "id long, toxic int, bag array<string>")
+    picked = own.join(F.broadcast(chosen), "id").select("id", "toxic", "text").mapInArrow(lean(_sampler(params)), "id long, toxic int, bag array<string>")
     rows = sorted(picked.dropDuplicates(["id"]).collect(), key=lambda r: r["id"])
     label = np.array([r["toxic"] for r in rows], np.float32)
     toxic, clean = int(label.sum()), len(label) - int(label.sum())
@@ -91,7 +91,7 @@ def _scorer(model: bigru.Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             texts = [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in textvec.blocks(texts, BLOCK_BYTES):
                 scores = model.scores([bigru.words_of(t) for t in texts[lo:hi]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(scores, pa.float64())], names=["id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(scores, pa.float64())], names=[b.schema.names[0], "score"])
 
     return run
 
@@ -104,15 +104,22 @@ def score(docs: DataFrame, model: bigru.Model, id_col: str = "doc_id", text_col:
     columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = own.mapInArrow(_scorer(model), "id long, score double")
+    out = own.mapInArrow(lean(_scorer(model)), "id long, score double")
     return out.select(
         F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """``docs`` without the documents predicted toxic; its columns are unchanged."""
+    """``docs`` without the rows whose text is predicted toxic; its columns are unchanged.
+
+    The text alone decides, so rows that share an id with a toxic one stay and rows
+    without an id go if they are toxic. Null counts as the empty text; repeated rows share
+    their decision; an empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession)
-    scored = score(docs, fit(docs, labels, id_col, text_col, params=params), id_col, text_col, params.threshold)
-    toxic = scored.where((F.col("predicted") == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    return drop_ids(docs, scratch.stage(toxic, "toxic-ids"), id_col)
+    model = fit(docs, labels, id_col, text_col, params=params)
+    own = docs.select(text_digest(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
+    scored = own.mapInArrow(lean(_scorer(model)), "sha string, score double")
+    toxic = scored.where(F.col("score") >= params.threshold).select("sha").distinct()
+    return drop_texts(docs, scratch.stage(toxic, "toxic-texts"), text_digest(F.col(text_col)))

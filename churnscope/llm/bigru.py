@@ -135,7 +135,7 @@ class Model:
     shift: float = 0.0
     cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
-    def project(self, words: list[str], chunk: int = 4096) -> np.ndarray:
+    def project(self, words: list[str], chunk: int = 1024) -> np.ndarray:
         """Projected inputs (words x both directions' gates) of the window level."""
         p = self.params
         out = np.empty((len(words), p["word_xf"].shape[1] * 2), np.float32)
@@ -152,7 +152,7 @@ class Model:
             out[some] = np.concatenate([x @ p["word_xf"] + p["word_bf"], x @ p["word_xb"] + p["word_bb"]], 1)
         return out
 
-    def window_logits(self, projected: np.ndarray, index: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    def window_logits(self, projected: np.ndarray, index: np.ndarray, chunk: int = 512) -> np.ndarray:
         """Logits of windows; ``index`` (windows x size) holds rows of ``projected``, -1 past the end."""
         p, half = self.params, projected.shape[1] // 2
         out = np.empty(len(index), np.float32)

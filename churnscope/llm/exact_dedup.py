@@ -16,7 +16,7 @@ two staged tables as inputs, which AQE splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.llm.common import Scratch, drop_texts, keep_ids, normal_spaces, one_of_each
@@ -54,6 +54,16 @@ def first_seen(stream: DataFrame) -> DataFrame:
     )
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and those of the stream, which reach nothing else that runs beside it."""
+    streaming = spark.newSession()
+    for k, v in {**spark.conf.getAll, **ROCKSDB}.items():
+        # Spark has no entries for the settings under ``rocksdb``, so it calls none of them modifiable.
+        if k.startswith("spark.sql.streaming.stateStore.rocksdb.") or streaming.conf.isModifiable(k):
+            streaming.conf.set(k, v)
+    return streaming
+
+
 def run_stream(scratch: Scratch, source: str, schema, max_bytes_per_trigger: int, checkpoint: str | None = None) -> DataFrame:
     """Stream the digests under ``source`` through the state; returns the state's rows.
 
@@ -62,11 +72,7 @@ def run_stream(scratch: Scratch, source: str, schema, max_bytes_per_trigger: int
     """
     spark = scratch.spark
     checkpoint = checkpoint or scratch.path("dedup-state")
-    # A session of its own: the stream's settings reach nothing else that runs beside it.
-    streaming = spark.newSession()
-    for k, v in {**spark.conf.getAll, **ROCKSDB}.items():
-        if streaming.conf.isModifiable(k):
-            streaming.conf.set(k, v)
+    streaming = stream_session(spark)
     stream = streaming.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(source)
     query = (
         first_seen(stream)
@@ -77,7 +83,7 @@ def run_stream(scratch: Scratch, source: str, schema, max_bytes_per_trigger: int
         .start()
     )
     query.awaitTermination()
-    state = spark.read.format("statestore").load(checkpoint)
+    state = streaming.read.format("statestore").load(checkpoint)
     first, rows = state.schema["value"].dataType.names
     return state.select(
         F.col("key.key").alias("key"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -92,6 +93,20 @@ def test_state_is_kept_between_runs(spark, docs):
     assert sorted((r["keep_id"], r["group_size"]) for r in state.collect()) == [(3, 2), (6, 1), (9, 1)]
 
 
+def test_settings_reach_the_state_stores(spark, docs):
+    session = exact_dedup.stream_session(spark)
+    assert {k: session.conf.get(k, None) for k in exact_dedup.ROCKSDB} == exact_dedup.ROCKSDB
+    assert all(spark.conf.get(k, None) is None for k in exact_dedup.ROCKSDB if ".rocksdb." in k)
+    # A commit adds its changes to the checkpoint, not the store's files.
+    scratch = Scratch(spark)
+    source, checkpoint = scratch.path("stream-source"), scratch.path("stream-state")
+    narrow = exact_dedup.digests(docs([(5, "a"), (6, "b"), (7, "a")]))
+    narrow.write.parquet(source)
+    exact_dedup.run_stream(scratch, source, narrow.schema, 1 << 30, checkpoint)
+    names = [f for _, _, files in os.walk(checkpoint.removeprefix("file:") + "/state") for f in files if not f.startswith(".")]
+    assert any(f.endswith(".changelog") for f in names) and not any(f.endswith(".zip") for f in names)
+
+
 def test_dedup_edges(edges, nothing):
     got = exact_dedup.exact_dedup(edges)
     assert got.count() == edges.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 
 import corpus_pipeline
 from churnscope.llm import bigru, mixing, toxicity
+from churnscope.plans.staging import shared_root
 
 # ---------------------------------------------------------------- mixing
 
@@ -191,3 +193,14 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert mixed <= leaks and len(mixed) > len(leaks) / 2
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in run.collect()} == mixed
+
+
+def test_pipeline_bounds_its_state_stores(spark, docs):
+    """The stream of the second stage runs with its settings: commits add changes to the checkpoint, not whole stores."""
+    root = f"{shared_root(spark)}/churnscope-llm".removeprefix("file:")
+    before = set(glob.glob(f"{root}/dedup-state-*"))
+    stage = dict(corpus_pipeline.STAGES)["exact_dedup"]
+    assert stage(spark, docs([(1, "a b"), (2, "a  b"), (3, "c")]), "").count() == 2
+    (state,) = set(glob.glob(f"{root}/dedup-state-*")) - before
+    assert glob.glob(f"{state}/state/**/*.changelog", recursive=True)
+    assert not glob.glob(f"{state}/state/**/*.zip", recursive=True)

@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm import tokens
-from churnscope.llm.common import Scratch, lean
+from churnscope.llm.common import Scratch, give_back, lean
 
 #: Entries worked on at once where lists are multiplied out; pairs in one row of a block's list, and tokens written at once.
-CHUNK, ROW = 2 << 20, 1 << 16
+CHUNK, ROW = 1 << 19, 1 << 16
+#: Distinct parts of a block that are tokenised and merged at once: what that takes besides its results is bounded by them.
+PARTS = 1 << 15
 
 STAGED = (
     "part string, block long, id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
@@ -120,6 +122,8 @@ def _cuts(sizes: np.ndarray, limit: int) -> list[int]:
 class Aligner:
     """Aligns the distinct parts of blocks with a pair of tokenizers."""
 
+    RESULTS = {"good": bool} | dict.fromkeys(("n_a", "n_b", "n_groups", "n_links", "owner", "pair", "times"), np.int64)
+
     def __init__(self, a: tokens.ByteLevelBpe, b: tokens.PieceBpe, work: int):
         if not b.splits_at_spaces:
             raise ValueError("a piece of B holds a space behind another character: texts can't be cut at spaces")
@@ -146,6 +150,23 @@ class Aligner:
 
     def align(self, parts: list[str]) -> None:
         """Sets good, n_a, n_b, n_groups, n_links and text of each part, and its distinct pairs: (owner, pair, times)."""
+        found = {name: [np.zeros(0, kind)] for name, kind in self.RESULTS.items()}
+        text = []
+        for lo in range(0, len(parts), PARTS):
+            self._align(parts[lo : lo + PARTS])
+            self.owner += lo
+            text += self.text
+            for name, arrays in found.items():
+                arrays.append(getattr(self, name))
+        self.text = text
+        for name in self.RESULTS:
+            setattr(self, name, np.concatenate(found.pop(name)))
+
+    def forget(self) -> None:
+        """Drops the results of the last block."""
+        self.align([])
+
+    def _align(self, parts: list[str]) -> None:
         a, b = self.a.encode([" " + p for p in parts]), self.b.encode(parts)
         self.good = self._whole(parts, a, b)
         ids_a, ids_b = a.ids[np.repeat(self.good, a.counts)], b.ids[np.repeat(self.good, b.counts)]
@@ -246,6 +267,10 @@ def _staging(spec_a, spec_b, p: AlignParams) -> Callable[[Iterator[pa.RecordBatc
         block = TaskContext.get().partitionId() << 32
         for ids, texts in tokens.blocks(batches, p.block_bytes):
             yield from _block_rows(aligner, block, ids, texts, p.digest)
+            del ids, texts
+            # Before the next block, what this one took goes back to the system; kept, it would add up to the next one's.
+            aligner.forget()
+            give_back()
             block += 1
 
     return run
